@@ -66,7 +66,7 @@ def _features(buf: np.ndarray, offsets: np.ndarray) -> _Features:
     ptr = np.append(0, np.cumsum(n))
     at = np.arange(ptr[-1]) + np.repeat(w.start - ptr[:-1], n)
     low = buf[at].astype(np.uint32)
-    low += 32 * ((low >= 65) & (low <= 90))
+    low[(low >= 65) & (low <= 90)] += 32
     left, right = np.empty_like(low), np.empty_like(low)
     left[1:], right[:-1] = low[:-1], low[1:]
     left[ptr[:-1]] = 32
@@ -110,7 +110,7 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, max_languages: int = 2
     total = np.zeros((max(1, len(languages)), 2 * BINS + SCRIPTS))
     if languages:
         got = rows.select("lang", "text").mapInArrow(_counts(languages), "lang int, bin int, n long")
-        got = got.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most languages x bins rows
+        got = got.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most languages x bins rows
         total[got["lang"], got["bin"]] = got["n"]
     log = lambda c, a: np.log((c + a) / (c.sum(1, keepdims=True) + a * BINS)).T.astype(np.float32)
     script = total[:, 2 * BINS :]

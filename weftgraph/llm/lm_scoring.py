@@ -28,9 +28,10 @@ class Models(NamedTuple):
     """vocabulary: sorted word hashes; id len(vocabulary) is every other word, the next one a text's begin."""
 
     vocabulary: np.ndarray
-    unigram: np.ndarray  # [2, V + 1] log-smoothed probabilities: target, background
-    context: np.ndarray  # [2, V + 2] counts
-    pair: np.ndarray  # [2, bins] counts
+    single: np.ndarray  # [2, V + 1] counts: target, background
+    context: np.ndarray  # [2, V + 2]
+    pair: np.ndarray  # [2, bins]
+    scale: float  # of the background's counts
     prior: float
 
 
@@ -96,11 +97,7 @@ def _pair_counts(vocabulary: np.ndarray, bins: int):
 def train(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = 1 << 16, bins: int = 1 << 19, prior: float = 50.0) -> Models:
     """Both models from docs (doc_id, text); the target documents are those in ``target_ids`` (doc_id).
     All documents count; vocabulary_size and bins fix the models' size."""
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    n = ids.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left")
-    rows = joined.select(F.coalesce("target", F.lit(False)).alias("target"), "text")
+    rows = _with_target(docs, target_ids).select("target", "text")
     counted = rows.mapInArrow(_word_counts, "word long, n long, target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
     counted = materialise(counted, "words")
     top = counted.orderBy(F.desc("n"), "word").limit(vocabulary_size).collect()
@@ -117,30 +114,41 @@ def train(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = 1 << 16
     single[:, v] = [all_target - single[0].sum(), all_n - single[1].sum()]
     single[1] *= scale
     pairs = rows.mapInArrow(_pair_counts(vocabulary, bins), "cell int, n long, target long")
-    pairs = pairs.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toPandas()  # at most bins + V + 2 rows
+    pairs = pairs.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toArrow().to_pandas()  # at most bins + V + 2 rows
     table = np.zeros((2, bins + v + 2), np.float32)
     table[1, pairs["cell"]] = pairs["n"] * scale
     table[0, pairs["cell"]] = pairs["target"]
-    unigram = (single + 0.5) / (single.sum(1, keepdims=True) + 0.5 * (v + 1))
-    return Models(vocabulary, unigram.astype(np.float32), table[:, bins:], table[:, :bins], prior)
+    return Models(vocabulary, single, table[:, bins:], table[:, :bins], scale, prior)
+
+
+def _own(text: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """How often each token's key occurs in its own text."""
+    _, at, n = np.unique(text * size + key, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def _score(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Models = models.value
-        bins = m.pair.shape[1]
+        bins, v = m.pair.shape[1], len(m.vocabulary)
+        totals = m.single.sum(1)
         for batch in batches:
             n, loss = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
+            member = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j, buf, offsets in K.chunks(batch.column(1)):
                 w = K.words(buf, offsets)
                 now, before = _ids(w, m.vocabulary)
                 cell = _cell(before, now, bins)
-                text = np.repeat(np.arange(j - i), np.diff(w.ptr))
                 n[i:j] = np.diff(w.ptr)
-                for k in range(2):
-                    c = m.context[k][before]
-                    p = (np.minimum(m.pair[k][cell], c) + m.prior * m.unigram[k][now]) / (c + m.prior)
-                    loss[k, i:j] = np.bincount(text, -np.log(p), j - i)
+                text = np.repeat(np.arange(j - i), n[i:j])
+                mine = [_own(text, key, size) for key, size in ((now, v + 1), (before, v + 2), (cell, bins))]
+                for k, part in enumerate((np.where(member[i:j], 1.0, 0.0), np.full(j - i, m.scale))):
+                    out = part[text]  # a text's own counts don't speak for it
+                    one = np.maximum(m.single[k][now] - out * mine[0], 0) + 0.5
+                    one /= np.maximum(totals[k] - part * n[i:j], 0)[text] + 0.5 * (v + 1)
+                    c = np.maximum(m.context[k][before] - out * mine[1], 0)
+                    pair = np.clip(m.pair[k][cell] - out * mine[2], 0, c)
+                    loss[k, i:j] = np.bincount(text, -np.log((pair + m.prior * one) / (c + m.prior)), j - i)
             mean = loss / np.maximum(n, 1)
             empty = n == 0
             cols = [pa.array(x, mask=empty) for x in (mean[0], mean[1], mean[1] - mean[0])]
@@ -149,9 +157,17 @@ def _score(models):
     return run
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score: a row for each row of ``docs``; nats a token.
-    A larger score is more like the target. Null, empty and blank texts have 0 tokens and null losses."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size
+def _with_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_score(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    joined = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left")
+    return joined.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def score(docs: DataFrame, target_ids: DataFrame, models: Models) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score: a row for each row of ``docs``, which the models
+    were trained on; nats a token. Each text is scored without its own counts. A larger score is more like
+    the target. Null, empty and blank texts have 0 tokens and null losses."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size
+    rows = _with_target(docs, target_ids)
+    return rows.mapInArrow(_score(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

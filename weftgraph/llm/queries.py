@@ -43,7 +43,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is the documents labelled as of good quality."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_scoring.score(docs, lm_scoring.train(docs, good))
+    return lm_scoring.score(docs, good, lm_scoring.train(docs, good))
 
 
 #: A conversation whose texts hold the template's own control strings.

@@ -112,11 +112,11 @@ def fit_cumulative(rows: list[list[int]], grades: np.ndarray, n_features: int, n
     return theta[:n_features], theta[n_features] + np.append(0, np.cumsum(np.exp(theta[n_features + 1 :])))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_features: int = 4096, min_documents: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_features: int = 4096, min_gain: float = 14.0) -> Model:
     """Fit on docs (doc_id, text) with labels (doc_id, toxic); null labels and texts are left out.
 
     Feature statistics cover all labelled documents; the regression sees about ``sample_rows`` of them and the
-    ``max_features`` features most tied to toxicity. The labels say toxic or not; a toxic document's grade is 1, 2
+    ``max_features`` features most tied to toxicity, of those that chance explains with less than exp(-min_gain). The labels say toxic or not; a toxic document's grade is 1, 2
     or 3 by how many of the chosen features it has, in thirds. Without toxic documents or features, all is clean.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
@@ -130,10 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_fea
     if not bad or not clean:
         return Model(weights, np.array([20.0]))
     found = both.select("toxic", "text").mapInArrow(_frequencies, "bin int, clean long, bad long")
-    found = found.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where(F.col("bad") >= min_documents)
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    sure = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = found.where((sure > 4) & (odds > 1)).orderBy(sure.desc(), "bin").limit(max_features)  # the model's size
+    found = found.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where("bad > 1")
+    # log-likelihood ratio of the feature's own share of toxic documents against the overall one
+    n, rate = F.col("bad") + F.col("clean"), bad / (bad + clean)
+    part = lambda c, p: F.when(c > 0, c * F.log(c / n / p)).otherwise(0.0)
+    gain = part(F.col("bad"), rate) + part(F.col("clean"), 1 - rate)
+    found = found.where((gain > min_gain) & (F.col("bad") > 2 * rate * n)).orderBy(gain.desc(), "bin").limit(max_features)  # the model's size
     used = np.array([r["bin"] for r in found.collect()], np.int64)
     if not len(used):
         return Model(weights, np.array([20.0]))
