@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.storage import materialise, release
@@ -42,6 +42,43 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield cut(rest)
 
 
+def block_pairs(rows: DataFrame, group: str, size: Column, limit: int, keep: list[str]) -> DataFrame:
+    """Rows dealt to tasks by (group, block, block2): groups over ``limit`` rows are cut into blocks by a hash of
+    id, and every pair of blocks, a block with itself included, is a task's worth. side: 0 and 1 for the
+    rows of the two blocks, 2 for a block with itself."""
+    rows = rows.withColumn("blocks", F.ceil(size / limit).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        group, F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), side.alias("side"), "id", *keep
+    )
+    return rows.repartition(group, "block", "block2").sortWithinPartitions(group, "block", "block2")
+
+
+def spanning(left: np.ndarray, right: np.ndarray | None, hits: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest between two sets of nodes, or within one (right: None). hits(x, others) says
+    which of the others x is linked with; a node is asked about those only that nothing has reached yet."""
+    free = [left, left if right is None else right]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(free[0]):
+        stack = [(0, int(free[0][0]))]
+        free[0] = free[0][1:]
+        while stack:
+            side, x = stack.pop()
+            at = 0 if right is None else 1 - side
+            others = free[at]
+            if not len(others):
+                continue
+            hit = hits(x, others)
+            if hit.any():
+                found = others[hit]
+                free[at] = others[~hit]
+                a.append(np.full(len(found), x))
+                b.append(found)
+                stack += [(at, int(y)) for y in found]
+    return np.concatenate(a), np.concatenate(b)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each end of ``edges`` (columns a, b; long).
 
@@ -51,8 +88,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, "links")
-    seen = None
     for _ in range(max_rounds):
+        ends = e.select(F.col("v").alias("u")).distinct()
+        if not e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not e.join(ends, "u", "left_semi").limit(1).count():
+            break  # every node points at its root
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -61,10 +100,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         nxt = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         release(e)
         e = nxt
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -7,11 +7,12 @@
    ``coordinates - min_matches + 1`` pairs of each (prefix filter), so only those are posted; pairs
    that a single class has are skipped altogether.
 3. Each list is merged in numpy by whole signatures: members whose set sizes can't reach the
-   similarity are skipped, matching coordinates are counted. First, members meet the leaders of
-   their list; the confirmed links give components. Then all pairs of a list whose components still
-   differ are counted, so that no link between components is lost and no group emits all its pairs.
-   Lists over ``list_limit`` are dealt out in blocks.
-4. Candidates are confirmed on the full sets.
+   similarity are skipped, matching coordinates are counted. A list gives the spanning forest of its
+   candidate graph, fewer pairs than it has members; lists over ``list_limit`` are dealt out in pairs
+   of blocks. The forests' components hold every candidate pair.
+4. The full sets of a component meet in pairs of blocks; exact intersection sizes confirm the links,
+   of which again a spanning forest goes on. So no group ever emits all its pairs, and no link
+   between different texts is lost.
 
 At a similarity of 0.8, a pair fails to agree in 14 of 32 places with a probability of about 1e-6.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
-from weftgraph.llm.groups import components, whole_groups
+from weftgraph.llm.groups import block_pairs, components, spanning, whole_groups
 from weftgraph.llm.storage import materialise, release
 
 #: Set this many ids at most are broadcast (8 bytes each); beyond it ids are joined by a shuffle.
@@ -78,45 +79,28 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids), pa.array(part.ravel().view(np.int64))], ["id", "token"])
 
 
-def _merge(min_matches: int, percent: int, across: bool):
-    """Candidate pairs of each list. Not ``across``: every member with the first leader it agrees with,
-    and the leaders (a = b). ``across``: all agreeing pairs of different components."""
+def _candidates(min_matches: int, percent: int):
+    """Spanning forests of the lists' candidate graphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["token", "block", "block2"] if across else ["token", "block"]
-        for table, bounds in whole_groups(batches, keys):
-            ids, sizes = table["id"].to_numpy(), table["n"].to_numpy()
+        for table, bounds in whole_groups(batches, ["token", "block", "block2"]):
+            ids, size, side = table["id"].to_numpy(), table["n"].to_numpy(), table["side"].to_numpy()
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(ids), -1)
-            tok = table["token"].to_numpy()
-            group = table["component"].to_numpy() if across else None
-            side = table["side"].to_numpy() if across else None
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def hits(x: int, others: np.ndarray) -> np.ndarray:
+                near = (size[others] * 100 >= size[x] * percent) & (size[others] * percent <= size[x] * 100)
+                near[near] = (sig[others[near]] == sig[x]).sum(1) >= min_matches
+                return near
+
+            pairs = []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if across:
-                    if (group[lo:hi] == group[lo]).all():
-                        continue
-                    other = side[lo:hi]
-                    left = np.arange(lo, hi)[other != 1]
-                    right = np.arange(lo, hi)[other != 0]
-                    for x in left:  # sorted by size: a larger partner is at most 100 / percent as large
-                        top = np.searchsorted(sizes[right], sizes[x] * 100 // percent, "right")
-                        near = right[np.searchsorted(sizes[right], -(-sizes[x] * percent // 100)) : top]
-                        near = near[group[near] != group[x]]
-                        hit = near[(sig[near] == sig[x]).sum(1) >= min_matches]
-                        out.append((np.full(len(hit), ids[x]), ids[hit], np.full(len(hit), tok[x])))
+                at = np.arange(lo, hi)
+                if side[lo] == 2:
+                    pairs.append(spanning(at, None, hits))
                 else:
-                    left = np.arange(lo, hi)
-                    while len(left):
-                        x, left = left[0], left[1:]
-                        out.append((ids[x : x + 1], ids[x : x + 1], tok[x : x + 1]))
-                        top = np.searchsorted(sizes[left], sizes[x] * 100 // percent, "right")
-                        hit = np.zeros(len(left), bool)
-                        hit[:top] = (sig[left[:top]] == sig[x]).sum(1) >= min_matches
-                        out.append((np.full(hit.sum(), ids[x]), ids[left[hit]], np.full(hit.sum(), tok[x])))
-                        left = left[~hit]
-            if out:
-                a, b, t = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(t)], ["a", "b", "token"])
+                    pairs.append(spanning(at[side[lo:hi] == 0], at[side[lo:hi] == 1], hits))
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     return run
 
@@ -126,28 +110,69 @@ def _sets(shingle: int):
         for batch in batches:
             for i, j, buf, offsets in K.chunks(batch.column(1)):
                 h, ptr = K.shingles(K.words(buf, offsets), shingle)
-                sets = [np.unique(h[ptr[r] : ptr[r + 1]]).tobytes() for r in range(j - i)]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["id", "set"])
+                sets = [np.unique(h[ptr[r] : ptr[r + 1]]) for r in range(j - i)]
+                keys = np.array([K.mix(x).sum() for x in sets], np.uint64).view(np.int64)
+                yield pa.record_batch(
+                    [batch.column(0).slice(i, j - i), pa.array(keys), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "set_key", "set"]
+                )
 
     return run
 
 
-def _confirm(percent: int):
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """[left, right] sizes of the intersections of sets (sorted, distinct)."""
+    values, inverse, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    keep = shared[inverse]
+    row, col = row[keep], number[inverse[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(col, [c, c + columns])
+        m = np.zeros((len(left) + len(right), columns), np.float32)
+        m[row[lo:hi], col[lo:hi] - c] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _links(percent: int):
+    """Spanning forests of the confirmed links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.record_batch([keep.column("a"), keep.column("b")], ["a", "b"])
+        for table, bounds in whole_groups(batches, ["component", "block", "block2"]):
+            ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"].chunk(0)] if table.num_rows else []
+            size = np.array([len(x) for x in sets], np.int64)
+            a, b = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                one = side[lo] == 2
+                left = np.arange(lo, hi) if one else lo + np.flatnonzero(side[lo:hi] == 0)
+                right = left if one else lo + np.flatnonzero(side[lo:hi] == 1)
+                if not len(right):
+                    continue
+                both = intersections([sets[i] for i in left], [sets[i] for i in right])
+                linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+                x, y = spanning_of(linked, one)
+                a.append(ids[left[x]])
+                b.append(ids[right[y]])
+            if a:
+                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
+def spanning_of(linked: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of a spanning forest of a table of links; ``one``: rows and columns are the same nodes."""
+    n = len(linked)
+    if one:
+        return spanning(np.arange(n), None, lambda x, others: linked[x, others])
+    a, b = spanning(np.arange(n), n + np.arange(linked.shape[1]), lambda x, others: linked[x, others - n] if x < n else linked[others, x - n])
+    return np.minimum(a, b), np.maximum(a, b) - n
+
+
 def semi_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (distinct). Ids are broadcast up to BROADCAST_IDS, else shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
@@ -160,6 +185,7 @@ def near_duplicates(
     coordinates: int = 32,
     min_matches: int = 14,
     list_limit: int = 8192,
+    block_limit: int = 512,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -196,59 +222,17 @@ def near_duplicates(
     lists = materialise(ranked.join(long, "token").join(reps, "id"), "lists")
     release(ranked)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        sets = semi_join(texts, ids, "doc_id").mapInArrow(_sets(shingle), "id long, set binary").dropDuplicates(["id"])
-        sets = materialise(sets, "sets")
-        joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
-        )
-        out = materialise(joined.mapInArrow(_confirm(percent), "a long, b long"), "links")
-        release(ids, sets)
-        return out
-
-    # members and the leaders of their lists; leaders of a list's blocks meet again in fewer blocks
-    merge = lambda across: _merge(min_matches, percent, across)
-    level, met = lists, []
-    while True:
-        blocks = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / list_limit))
-        dealt = level.select("token", blocks.alias("block"), "id", "n", "sig").repartition("token", "block")
-        found = dealt.sortWithinPartitions("token", "block", "n", "id").mapInArrow(merge(False), "a long, b long, token long")
-        found = materialise(found, "met")
-        met.append(found)
-        lead = found.where("a = b").select("token", F.col("a").alias("id"))
-        again = lists.where(F.col("m") > list_limit).select("token").distinct()
-        lead = lead.join(again, "token")
-        sizes = lead.groupBy("token").agg(F.count("*").alias("m"))
-        before = level.where(F.col("m") > list_limit).select("token", "m").distinct().agg(F.sum("m")).first()[0] or 0
-        after = sizes.agg(F.sum("m")).first()[0] or 0
-        if not before or after >= before:
-            break
-        level = lead.join(sizes, "token").join(reps, "id")
-    pairs = met[0]
-    for x in met[1:]:
-        pairs = pairs.union(x)
-    first = confirmed(materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
-    release(*met)
-    groups = materialise(components(first), "groups").select(F.col("node").alias("id"), "component")
-
-    # what the leaders left: pairs of different components
-    labelled = lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    labelled = labelled.join(mixed, "token").withColumn("blocks", F.ceil(F.col("m") / list_limit).cast("int"))
-    labelled = labelled.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token",
-        F.least("own", "other").alias("block"),
-        F.greatest("own", "other").alias("block2"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "id", "n", "sig", "component",
-    )
-    spread = spread.repartition("token", "block", "block2").sortWithinPartitions("token", "block", "block2", "n", "id")
-    more = spread.mapInArrow(merge(True), "a long, b long, token long")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = first.union(confirmed(materialise(more, "pairs")))
-    groups = components(links).select(F.col("node").alias("id"), "component")
+    dealt = block_pairs(lists, "token", F.col("m"), list_limit, ["n", "sig"])
+    found = materialise(dealt.mapInArrow(_candidates(min_matches, percent), "a long, b long"), "candidates")
+    near = materialise(components(found).withColumnRenamed("node", "id"), "near")
+    release(lists, found)
+
+    sets = semi_join(texts, near.select(F.col("id").alias("doc_id")), "doc_id").mapInArrow(_sets(shingle), "id long, set_key long, set binary")
+    sizes = near.groupBy("component").agg(F.count("*").alias("m"))
+    members = near.join(sizes, "component").join(sets.join(firsts.withColumnRenamed("doc_id", "id"), ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"]), "id")
+    dealt = block_pairs(members, "component", F.col("m"), block_limit, ["set"])
+    links = materialise(dealt.mapInArrow(_links(percent), "a long, b long"), "links")
+    groups = components(links).withColumnRenamed("node", "id")
     named = classes.join(groups, "id", "left").select("set_key", F.col("n_shingles").alias("size"), F.coalesce("component", "id").alias("component"))
     out = signed.join(named, (signed.set_key == named.set_key) & (signed.n_shingles == named["size"]), "left")
     return out.select(
