@@ -51,20 +51,6 @@ def _exploded(parsed: DataFrame, name: str) -> DataFrame:
     return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("block").outer())).select("doc_id", "key", "value")
 
 
-def headers(parsed: DataFrame) -> DataFrame:
-    """doc_id, is_object, prefix_ok, prefixes, bad_blocks (elements), bad_relations: what the blocks look like."""
-    get = lambda n: F.try_variant_get("doc", f"$.{n}", "variant")
-    bad = lambda names, missing: F.filter(
-        F.array(*[F.when(~_is_object(get(n)) & (missing | get(n).isNotNull()), F.lit(n)) for n in names]), lambda x: x.isNotNull()
-    )
-    prefixes = F.json_object_keys(F.to_json(get("prefix")))
-    return parsed.select(
-        "doc_id", _is_object(F.col("doc")).alias("is_object"), _is_object(get("prefix")).alias("prefix_ok"),
-        F.when(_is_object(get("prefix")), prefixes).alias("prefixes"), bad(KINDS, F.lit(True)).alias("bad_blocks"),
-        bad(RELATIONS, F.lit(False)).alias("bad_relations"),
-    )
-
-
 def elements(parsed: DataFrame) -> DataFrame:
     """doc_id, kind, node_id, is_object, has_type, ptype, attrs (JSON literals): every declared element."""
     out = None

@@ -1,8 +1,8 @@
 """Conformance checks of provenance documents, the gate and its report.
 
-Rules become rows of errors (doc_id, stage, item, message); a document's outcome is a grouped, ordered
-list of them. ``stage`` and ``item`` put messages in the order of the rules, and within a rule in the order
-of ids.
+Over node and edge tables, rules are joins and become rows of errors (doc_id, stage, item, message);
+``stage`` and ``item`` put messages in the order of the rules, and within a rule in the order of ids. JSON
+documents are validated row by row (see document_rules).
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.model import KINDS, RELATIONS, REQUIRED_PREFIXES, expected_counts
+from weftgraph.model import KINDS, RELATIONS, expected_counts
+from weftgraph.operators import document_rules as R
 from weftgraph.operators import documents as D
 from weftgraph.operators.stats import document_stats
 
@@ -45,18 +46,6 @@ def repr_text(c: Column) -> Column:
     return F.when(has & ~has2, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-def header_errors(headers: DataFrame) -> DataFrame:
-    """A document that is no object, a missing prefix block or prefix, missing element blocks."""
-    bad = headers.where("not is_object")
-    out = _errors(bad, 0, F.lit(""), F.lit("document is not a JSON object"))
-    ok = headers.where("is_object")
-    out = out.unionByName(_errors(ok.where("not prefix_ok"), 1, F.lit(""), F.lit("missing or malformed 'prefix' block")))
-    gone = ok.where("prefix_ok").select("doc_id", F.posexplode(F.array_except(F.array(*map(F.lit, REQUIRED_PREFIXES)), "prefixes")).alias("i", "p"))
-    out = out.unionByName(_errors(gone, 1, F.col("i").cast("string"), _say("missing required prefix '%s'", "p")))
-    blocks = ok.select("doc_id", F.posexplode("bad_blocks").alias("i", "b"))
-    return out.unionByName(_errors(blocks, 2, F.col("i").cast("string"), _say("missing or malformed '%s' block", "b")))
-
-
 def element_errors(elements: DataFrame) -> DataFrame:
     """Elements (doc_id, kind, node_id, is_object, has_type) whose attributes are no object or have no type."""
     n = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("string")
@@ -78,14 +67,11 @@ def _endpoints(relations: DataFrame) -> DataFrame:
     return relations.select("doc_id", "rel", "edge_id", F.inline(F.array(*ends)))
 
 
-def relation_errors(relations: DataFrame, declared: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+def relation_errors(relations: DataFrame, declared: DataFrame) -> DataFrame:
     """Malformed relations, missing ends and ends that no element of their kind declares (an anti join)."""
     n = F.array_position(F.array(*map(F.lit, RELATIONS)), F.col("rel"))
     order = F.concat_ws("|", n.cast("string"), F.format_string("%06d", F.length("edge_id")), "edge_id")
     out = _errors(relations.where("not is_object"), 4, order, _say("%s '%s' not an object", "rel", "edge_id"))
-    if headers is not None:
-        blocks = headers.where("is_object").select("doc_id", F.explode("bad_relations").alias("rel"))
-        out = out.unionByName(_errors(blocks, 4, n.cast("string"), _say("relation block '%s' not an object", "rel")))
     ends = _endpoints(relations.where("is_object"))
     order = F.concat_ws("|", order, F.col("side").cast("string"))
     out = out.unionByName(_errors(ends.where("not has"), 4, order, _say("%s '%s' missing %s", "rel", "edge_id", "key")))
@@ -104,18 +90,6 @@ def cardinality_errors(stats: DataFrame, failed: DataFrame, folds: int = 5) -> D
     return _errors(rows, 5, F.col("i").cast("string"), _say("%s=%d, expected %d", "name", F.col("got").cast("long"), F.col("want").cast("long")))
 
 
-def schema_errors(documents: DataFrame, cardinality: bool = True, folds: int = 5) -> DataFrame:
-    """All structural errors of documents (doc_id, json). A malformed block is reported and the check goes on."""
-    parsed = D.parse(documents)
-    heads, elements, relations = (t.persist() for t in (D.headers(parsed), D.elements(parsed).drop("value", "plain"), D.relations(parsed)))
-    out = header_errors(heads).unionByName(element_errors(elements)).unionByName(relation_errors(relations, elements, heads))
-    if not cardinality:
-        return out
-    stats = document_stats(elements, relations)
-    stats = heads.select("doc_id").join(stats, "doc_id", "left").fillna(0)
-    return out.unionByName(cardinality_errors(stats, out, folds))
-
-
 def table_errors(nodes: DataFrame, edges: DataFrame, cardinality: bool = True, folds: int = 5) -> DataFrame:
     """The same rules over node and edge tables, where a null type, end or id is a missing one."""
     elements = nodes.select("doc_id", "kind", "node_id", F.lit(True).alias("is_object"), F.col("ptype").isNotNull().alias("has_type"))
@@ -174,24 +148,7 @@ def validate(documents: DataFrame, checks: Sequence[str] = CHECKS, cardinality:
     All wanted checks run whatever the others say. A document that can't be read as a graph has no statements
     that the later checks could reject. summary has the first three messages of each failed check, or 'ok'.
     """
-    names = check_names(checks)
-    documents = documents.persist()  # read by every rule; the caller's clearCache() or the session's end frees it
-    nodes, edges = (t.persist() for t in D.to_tables(documents)) if set(names) - {"schema"} else (None, None)
-    sources = {"schema": lambda: schema_errors(documents, cardinality, folds), "shacl": lambda: shacl_errors(nodes, edges), "round_trip": lambda: round_trip_errors(nodes, edges)}
-    out = documents.select("doc_id")
-    for name in names:
-        said = sources[name]().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("stage", "item", "message"))).alias(name))
-        out = out.join(said.withColumn(name, F.transform(name, lambda x: x["message"])), "doc_id", "left")
-    outcomes = []
-    for name in names:
-        errors = F.coalesce(F.col(name), F.array().cast("array<string>"))
-        errors = F.slice(errors, 1, 10) if name == "shacl" else errors
-        status = F.when(F.size(errors) > 0, "fail").otherwise("pass")
-        outcomes.append(F.struct(F.lit(name).alias("name"), status.alias("status"), errors.alias("errors")))
-    out = out.select("doc_id", F.array(*outcomes).alias("checks"))
-    failed = F.filter("checks", lambda c: c["status"] == "fail")
-    text = F.array_join(F.transform(failed, lambda c: F.concat(c["name"], F.lit(": "), F.array_join(F.slice(c["errors"], 1, 3), "; "))), " | ")
-    return out.select("doc_id", F.forall("checks", lambda c: c["status"].isin("pass", "skipped")).alias("valid"), "checks", F.when(text == "", "ok").otherwise(text).alias("summary"))
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "json").mapInPandas(R.validator(check_names(checks), cardinality, folds), R.RESULT)
 
 
 def gate(documents: DataFrame, outcomes: DataFrame, policy: str = "strict") -> DataFrame:
