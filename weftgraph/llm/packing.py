@@ -20,37 +20,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm import text_kernel as K
 from weftgraph.llm.storage import materialise, release
-from weftgraph.llm.tokens import WordEncoder
+from weftgraph.llm.tokens import TextEncoder
 
 Pattern = tuple[int, ...]
 
 
 def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = TextEncoder(tokenizer_path), np.array([end_id], np.uint32)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            at, doc, piece, start, length, crc, kept = 0, [], [], [], [], [], []
-            for row in range(batch.num_rows):
-                a = np.frombuffer(encode(texts[row].as_py() or "") + end, "<u4")
-                for p, lo in enumerate(range(0, len(a), capacity)):
-                    part = a[lo : lo + capacity]
-                    doc.append(row)
-                    piece.append(p)
-                    start.append(lo)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if with_ids:
-                        kept.append(part.tobytes())
-                at += len(a)
-                if at > 1 << 22 or row == batch.num_rows - 1:
-                    cols = [ids.take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                    if with_ids:
-                        cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "ids"]
-                    yield pa.record_batch(cols, names)
-                    at, doc, piece, start, length, crc, kept = 0, [], [], [], [], [], []
+            for i, j, buf, offsets in K.chunks(batch.column(1), 2 << 20):
+                flat, ptr = encode(buf, offsets)
+                doc, piece, start, length, crc, kept = [], [], [], [], [], []
+                for row in range(j - i):
+                    a = np.concatenate([flat[ptr[row] : ptr[row + 1]], end]).astype("<u4", copy=False)
+                    for p, lo in enumerate(range(0, len(a), capacity)):
+                        part = a[lo : lo + capacity]
+                        doc.append(i + row)
+                        piece.append(p)
+                        start.append(lo)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        if with_ids:
+                            kept.append(part.tobytes())
+                cols = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "ids"]
+                yield pa.record_batch(cols, names)
 
     return run
 

@@ -120,6 +120,22 @@ def words(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITESP
     return Words(mix(h + (e - s).astype(np.uint64) * np.uint64(_P)), s, e, np.searchsorted(s, offsets))
 
 
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges [start, end), A-Z as a-z; ranges are in order and don't overlap."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        power, inverse = _pow(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_byte_hash[buf[lo:hi]] * power[: hi - lo], out=sums[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(_P))
+        i = j
+    return out
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words, in order, and where each text's begin. A text with
     fewer words has its whole sequence as one shingle; a text without words has none."""

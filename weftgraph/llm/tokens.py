@@ -9,7 +9,7 @@ nodes of a level are the distinct (parent, byte) pairs.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,35 +19,89 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
 
-_BLANK = re.compile(r"[ \t\n\r]+")
-
-
-class WordEncoder:
-    """Ids (as little-endian 32-bit bytes) of whole texts, from a tokenizer that never joins characters
-    across white space. A word is encoded once while it stays in a cache of bounded size; the ids equal
-    those of encoding the whole text."""
-
-    def __init__(self, path: str, cached: int = 400_000, longest: int = 64) -> None:
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
+#: What a byte is in a word: 1 letter, 2 digit, 3 other printable; 0 asks for the tokenizer itself. Bytes of the letters of
+#: Latin-1 and Latin Extended A and B count as letters; quotes (contractions) and < (special tokens) are 0.
+_LETTER, _DIGIT = 1, 2
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA), *range(0x80, 0xC0)]] = _LETTER
+_CLASS[[0x27, 0x3C]] = 0
+#: Bytes as the characters that byte-level vocabularies write for them: printable ones stand for themselves.
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_CHAR = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_OWN))}
+
+
+class TextEncoder:
+    """Ids of whole texts by a ``tokenizers`` file of the lower-casing word-end kind, which joins no characters across
+    white space. Words of simple characters are cut into runs of letters, digits and other signs in numpy;
+    each distinct run goes to the file's BPE model once while it stays in a cache of bounded size. Any other
+    word goes through the whole tokenizer. The ids equal those of encoding the whole text."""
+
+    def __init__(self, path: str, cached: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), cached, longest
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        known, parts = self.known, _BLANK.split(text)
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            pass
-        missing = list({w for w in parts if w not in known})
-        if len(known) + len(missing) > self.limit:
+        self.tokenizer, self.limit = Tokenizer.from_file(path), cached
+        self.model, self.known = self.tokenizer.model, {}
+
+    def _run(self, raw: bytes) -> bytes:
+        text = raw.decode().lower()
+        if not text.isascii():
+            text = "".join([_AS_CHAR[b] for b in text.encode()])
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's begin) of texts in one buffer."""
+        n = len(buf)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        kind = _CLASS[buf]
+        two = buf[1:].astype(np.uint16) | buf[:-1].astype(np.uint16) << 8
+        kind[:-1][(two == 0xC397) | (two == 0xC3B7) | (two == 0xC4B0)] = 0  # signs among the letters; one that lower-cases to two
+        solid = ~_BLANK[buf]
+        begin = solid.copy()
+        begin[1:] &= ~solid[:-1]
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        begin[inner] = solid[inner]
+        word = np.cumsum(begin) - 1
+        hard = np.zeros(int(word[-1]) + 1, bool)
+        hard[word[solid & (kind == 0)]] = True
+        cut = np.zeros(n, bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        if len(hard):
+            cut &= solid & ~hard[np.maximum(word, 0)]
+        begin |= cut
+        start = np.flatnonzero(begin)
+        stop = begin.copy()
+        stop |= ~solid
+        edges = np.append(np.flatnonzero(stop), n)
+        end = edges[np.searchsorted(edges, start, "right")]
+        ptr = np.searchsorted(start, offsets)
+        special = hard[word[start]]
+        key = K.range_hashes(buf, start, end)
+        key[special] = np.arange(special.sum(), dtype=np.uint64)  # each its own: the case of special tokens counts
+        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        data, known, ids = buf.tobytes(), self.known, []
+        for k, at in zip(distinct.tolist(), first.tolist(), strict=True):
+            got = known.get(k)
+            if got is None:
+                raw = data[start[at] : end[at]]
+                if special[at]:
+                    ids.append(array("I", self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids).tobytes())
+                    continue
+                got = self._run(raw)
+                if len(raw) <= 64:
+                    known[k] = got
+            ids.append(got)
+        if len(known) > self.limit:
             known.clear()
-            known[""] = b""
-            missing = list(set(parts) - {""})
-        got = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, got, strict=True)}
-        known.update((w, x) for w, x in new.items() if len(w) <= self.longest)
-        return b"".join([known[w] if w in known else new[w] for w in parts])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, place = np.frombuffer(b"".join(ids), np.uint32), np.append(0, np.cumsum(size))[:-1]
+        each = size[inverse]
+        out = np.append(0, np.cumsum(each))
+        return flat[np.repeat(place[inverse] - out[:-1], each) + np.arange(out[-1])], out[ptr]
 
 
 class UnigramVocabulary:
