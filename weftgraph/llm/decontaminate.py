@@ -44,7 +44,7 @@ class Index:
         self.size, self.bag, prints, posts = [], [], [], []
         for n, (_, _, buf, offsets) in enumerate(K.chunks(pa.array(texts, pa.string()), 0)):
             w = K.words(buf, offsets, K.NOT_ALNUM)
-            h, _ = K.shingles(w, shingle)
+            h, _ = K.shingles(w, max(1, min(shingle, len(w.hash))))  # a short item is one shingle of its own length
             values, counts = np.unique(h, return_counts=True)
             self.size.append(len(w.hash))
             self.bag.append(dict(zip(values.tolist(), counts.tolist(), strict=True)))
@@ -126,8 +126,6 @@ def _scan(index: Index, threshold: float):
                         own = hit[text == r] - ptr[r] if len(hit) < 50 else hit[np.searchsorted(text, r) : np.searchsorted(text, r, "right")] - ptr[r]
                         mine = h[ptr[r] : ptr[r + 1]]
                         if k < index.shingle:  # items of fewer words than a shingle: equal or not
-                            if counts[r] < index.shingle and counts[r] != k:
-                                continue
                             found = {}
                             for p in own.tolist():
                                 s = int(np.searchsorted(index.shingles, mine[p]))
