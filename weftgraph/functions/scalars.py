@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 STAMP = "%Y-%m-%dT%H:%M:%SZ"
 
@@ -87,7 +88,7 @@ def native_score(base: Column, task_id: Column, cfg_idx: Column, fold: Column) -
     return clamp(base + (total / float(1 << 32) - 4.0) / float(np.sqrt(8 / 12)) * 0.05)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The score that Python's generator gives: (base, task_id, cfg_idx, zero-based fold). The model isn't in the
     seed, so all models share the noise of a task, configuration and fold."""
@@ -103,7 +104,7 @@ def exact_score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Seri
 def python_round(digits: int):
     """Python's rounding, which looks at the exact binary value (neither round nor bround of Spark does)."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def rounded(c: pd.Series) -> pd.Series:
         return c.map(lambda x: x if x is None or x != x else round(float(x), digits))
 
