@@ -144,7 +144,8 @@ class CorpusGenerator:
         say = print if c.verbose else lambda *_: None
         say(f"{c.mode} mode: {len(tasks)} tasks, {catalog.expected_runs(tasks, c.mode):,} runs -> {c.output_dir}")
         runs, nodes, edges = self.tables(max_tasks, exact)
-        docs = documents.to_documents(nodes, edges)
+        held = [t.persist() for t in (runs, nodes, edges)]  # read by the writer, the checks and the statistics
+        docs = documents.to_documents(nodes, edges).persist()
         out, report = Path(c.output_dir), None
         if c.validate:
             outcomes = validate.validate(docs, c.validation_checks, c.validation_cardinality).persist()
@@ -168,6 +169,8 @@ class CorpusGenerator:
         if report is not None:
             sinks.write_json(report, out / "conformance_report.json")
             say(f"validated {report['documents_validated']:,}: {report['documents_passed']:,} passed, {report['documents_failed']:,} failed ({c.validation_policy})")
+        for t in (*held, docs):
+            t.unpersist()
         say(f"{found['total_runs']:,} runs, {found['total_bytes'] / 2**20:.1f} MB; edges: {edge_n}")
         return found
 
