@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, language, minhash, packing, toxicity
-from weftgraph.llm.storage import materialise
+from weftgraph.llm.storage import materialise, without
 
 #: A document goes if less than this share of its letters is in its main language.
 MIN_LANGUAGE_SHARE = 0.5
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs whose doc_id has no rejecting verdict; what is rejected is the smaller side of the join."""
-    gone = verdicts.where(~F.coalesce(F.expr(keep), F.lit(True))).select("doc_id").distinct()
-    return docs.join(materialise(gone, "rejected"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows of docs whose doc_id has no rejecting verdict."""
+    return without(docs, verdicts.where(~F.coalesce(F.expr(keep), F.lit(True))).select("doc_id").distinct())
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
+from weftgraph.llm.storage import without
 
 BLOCKS = 8
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -174,4 +175,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold:
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that contain no item; rows of a null doc_id stay."""
     hit = matches(docs, benchmark, **parameters).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, hit)

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +46,14 @@ def release(*tables: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+def without(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``ids`` (distinct doc_id). Ids (8 bytes each) are broadcast up to a number,
+    so that texts aren't shuffled; beyond it both sides are."""
+    ids = materialise(ids, "rejected")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
