@@ -80,7 +80,7 @@ def _rows(used: np.ndarray):
     return run
 
 
-def fit_cumulative(rows: list[list[int]], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative(rows: list[list[int]], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of the proportional-odds model, by Adam on the mean log-likelihood.
     Thresholds are a first one plus positive steps, so their order holds throughout."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -176,7 +176,7 @@ def _score(model: Model):
     return run
 
 
-def grade(docs: DataFrame, model: Model, cutoff: float = 0.5) -> DataFrame:
+def grade(docs: DataFrame, model: Model, cutoff: float = 0.4) -> DataFrame:
     """doc_id, expected_severity, grade, toxic_probability, toxic: a row for each row of ``docs``.
 
     grade is the most probable one; toxic says whether a grade above 0 has a probability of at least ``cutoff``.
