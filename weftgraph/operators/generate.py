@@ -55,11 +55,10 @@ def fold_results(runs: DataFrame, folds: int = 5, exact: bool = False, real: Dat
     base = F.coalesce(F.col("base_score"), F.lit(0.75))
     score = S.exact_score(base, F.col("task_id"), F.col("cfg_idx"), f0) if exact else S.native_score(base, F.col("task_id"), F.col("cfg_idx"), f0)
     out = runs.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-    out = out.withColumn("score", score).withColumn("train_size", S.train_size(F.col("n_samples")))
-    out = out.withColumn("test_size", F.col("n_samples") - F.col("train_size"))
+    train = S.train_size(F.col("n_samples"))
     stamps = {"train_start": 0, "train_end": 3, "pred_start": 4, "pred_end": 5, "eval_start": 6, "eval_end": 7}
-    for name, shift in stamps.items():
-        out = out.withColumn(name, S.stamp(F.col("now"), f0 * 10 + shift))
+    added = {"score": score, "train_size": train, "test_size": F.col("n_samples") - train}
+    out = out.withColumns(added | {name: S.stamp(F.col("now"), f0 * 10 + shift) for name, shift in stamps.items()})
     if real is None:
         return out
     names = ["score", "train_size", "test_size", *stamps]

@@ -70,7 +70,7 @@ def prov_nodes(spark, sf):
 
 
 def prov_edges(spark, sf):
-    return _graph(spark, sf)[1].select("doc_id", "rel", "edge_id", "src", "dst", "role")
+    return generate.run_edges(_runs(spark, sf), FOLDS).select("doc_id", "rel", "edge_id", "src", "dst", "role")
 
 
 def fold_results(spark, sf):
@@ -91,11 +91,14 @@ def graph_stats_corpus(spark, sf):
 
 
 def edge_breakdown(spark, sf):
-    return stats.edge_breakdown(_graph(spark, sf)[1])
+    return stats.edge_breakdown(generate.run_edges(_runs(spark, sf), FOLDS))
 
 
 def _pattern(name, spark, sf):
-    found = patterns.QUERIES[name][1](*_graph(spark, sf))
+    runs = _runs(spark, sf)
+    nodes = generate.run_nodes(runs, generate.fold_results(runs, FOLDS), FOLDS, ENVIRONMENT)
+    edges = None if name in ("count_runs", "per_fold_accuracies") else generate.run_edges(runs, FOLDS)  # those read no edges
+    found = patterns.QUERIES[name][1](nodes, edges)
     return found.select("m", _micro("acc").alias("acc_micro")) if name == "per_fold_accuracies" else found
 
 
