@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
-from weftgraph.llm.storage import without
+from weftgraph.llm.storage import lean_batches, without
 
 BLOCKS = 8
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -156,6 +156,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold:
     a null item_id are left out. The index is broadcast, ``block_rows`` items at a time: documents are
     scanned once for each such block.
     """
+    lean_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, item_id long, similarity double, first_word long"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
+from weftgraph.llm.storage import lean_batches
 
 BINS = 1 << 16
 #: Lead bytes of UTF-8 by script. 0 has no letters, 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew and Arabic,
@@ -100,6 +101,7 @@ def _counts(languages: list[str]):
 def train(labelled: DataFrame, sample_rows: int = 20_000, max_languages: int = 200) -> Model:
     """Fit on about ``sample_rows`` rows of (doc_id, text, lang), chosen by a hash of doc_id; all of them if there are
     no more. Rows with a null text or lang are left out. More than ``max_languages`` labels are an error."""
+    lean_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()
     if len(counted) > max_languages:
@@ -231,6 +233,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     text that is null or has no letter. A text whose letters form no scored word, or a tie, goes to the
     first label. Spans are byte ranges of the text with their language.
     """
+    lean_batches(docs.sparkSession)
     raw = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"), raw.rlike(r"\p{L}").alias("letters"))
     kind = "doc_id long, lang_pred string, score double"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
-from weftgraph.llm.storage import materialise, release
+from weftgraph.llm.storage import lean_batches, materialise, release
 
 MERGE_AT = 1_500_000
 #: Up to so many target ids (8 bytes each) are broadcast; beyond it documents are joined by a shuffle.
@@ -158,6 +158,7 @@ def _score(models):
 
 
 def _with_target(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    lean_batches(docs.sparkSession)
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left")

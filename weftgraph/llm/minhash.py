@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
 from weftgraph.llm.groups import block_pairs, components, spanning, whole_groups
-from weftgraph.llm.storage import materialise, release
+from weftgraph.llm.storage import lean_batches, materialise, release
 
 #: Set this many ids at most are broadcast (8 bytes each); beyond it ids are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -196,6 +196,7 @@ def near_duplicates(
     whether that is the row's own. Rows that repeat a doc_id share its component. A null doc_id is
     nobody's representative and its row has kept = false.
     """
+    lean_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(
         texts.mapInArrow(_signatures(shingle, coordinates), "doc_id long, n_shingles long, set_key long, sig binary"), "signatures"

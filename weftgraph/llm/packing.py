@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
-from weftgraph.llm.storage import materialise, release
+from weftgraph.llm.storage import lean_batches, materialise, release
 from weftgraph.llm.tokens import TextEncoder
 
 Pattern = tuple[int, ...]
@@ -196,6 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     as they occur. An empty table gives no rows.
     """
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    lean_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = materialise(texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), kind), "pieces")
     counted = pieces.groupBy("length").agg(F.count("*").alias("n"))

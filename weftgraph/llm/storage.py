@@ -25,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of texts go to Python in batches of at most ``rows`` from now on: at Spark's own 10,000, the buffers of a
+    batch on both sides follow the length of the texts. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, with its lineage cut."""
     spark = df.sparkSession

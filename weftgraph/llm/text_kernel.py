@@ -13,6 +13,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+#: Arrow's own pool keeps what it has freed; a worker that runs one operator after another would hold the sum of their peaks.
+pa.set_memory_pool(pa.system_memory_pool())
+
 BLOCK = 1 << 20
 CHUNK_BYTES = 4 << 20
 _M = (1 << 64) - 1

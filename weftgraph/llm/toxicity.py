@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
+from weftgraph.llm.storage import lean_batches
 
 BITS = 18
 BINS = 3 << BITS
@@ -119,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, max_fea
     ``max_features`` features most tied to toxicity, of those that chance explains with less than exp(-min_gain). The labels say toxic or not; a toxic document's grade is 1, 2
     or 3 by how many of the chosen features it has, in thirds. Without toxic documents or features, all is clean.
     """
+    lean_batches(docs.sparkSession)
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     n = marks.count()
     marks = F.broadcast(marks) if n <= BROADCAST_LABELS else marks
@@ -182,6 +184,7 @@ def grade(docs: DataFrame, model: Model, cutoff: float = 0.4) -> DataFrame:
     grade is the most probable one; toxic says whether a grade above 0 has a probability of at least ``cutoff``.
     Null and empty texts have no features and get the model's base rate.
     """
+    lean_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = texts.mapInArrow(_score(model), "doc_id long, expected_severity double, grade int, toxic_probability double")
     return out.withColumn("toxic", F.col("toxic_probability") >= cutoff)
