@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from weftgraph.llm import groups, minhash, nndescent
 
@@ -125,4 +124,3 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         spark.createDataFrame(data, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == {i for i in range(300) if i % 10 != 3}
-    assert F is not None

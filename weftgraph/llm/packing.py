@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
-from weftgraph.llm.storage import lean_batches, materialise, release
+from weftgraph.llm.storage import lean_batches, materialise
 from weftgraph.llm.tokens import TextEncoder
 
 Pattern = tuple[int, ...]
