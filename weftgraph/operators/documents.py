@@ -87,8 +87,8 @@ def relations(parsed: DataFrame) -> DataFrame:
 
 
 def to_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of documents (doc_id, json). Attribute values are JSON literals."""
-    parsed = parse(documents)
+    """(nodes, edges) of documents (doc_id, json), or of parsed ones (doc_id, doc). Attribute values are JSON literals."""
+    parsed = documents if "doc" in documents.columns else parse(documents)
     literal = F.when(F.col("t") == "STRING", json_string(F.col("v"))).otherwise(F.col("v"))
     e = elements(parsed).where("is_object")
     rows = e.lateralJoin(e.sparkSession.tvf.variant_explode(F.col("value").outer())).toDF(*e.columns, "pos", "akey", "avalue")

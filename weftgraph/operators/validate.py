@@ -133,7 +133,8 @@ def _sorted_attrs(nodes: DataFrame) -> DataFrame:
 
 
 def _again(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    n, e = D.to_tables(D.to_documents(nodes, edges))
+    docs = D.to_documents(nodes, edges).select("doc_id", F.try_parse_json("json").alias("doc")).persist()  # each block reads them
+    n, e = D.to_tables(docs)
     return _sorted_attrs(n), e
 
 
