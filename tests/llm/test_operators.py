@@ -231,6 +231,46 @@ def test_lm_scores_prefer_the_target(spark):
     assert lm_scoring.score(docs.limit(0), ids, lm_scoring.train(docs.limit(0), ids)).count() == 0
 
 
+def test_lm_counts_follow_the_input(spark, monkeypatch):
+    """More distinct words and pairs than any table of a fixed size holds, against plain dictionaries."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1 << 18)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 << 19)
+    rng = random.Random(4)
+    rows = [(i, " ".join([*(f"r{rng.randrange(90000)}" for _ in range(400)), *rng.choices("abcdefgh", k=20)])) for i in range(600)]
+    rows += [(600 + i, rows[i][1]) for i in range(60)] + [(900, None), (901, " "), (902, "r1"), (903, "a"), (903, "b a b a")]
+    good = set(range(0, 640, 3)) | {903}
+    docs, ids = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    models = lm_scoring.train(docs, ids)
+    assert models.blocks > 1 and models.words > 1 << 16
+    got = sorted(tuple(r) for r in lm_scoring.score(docs, ids, models).collect())
+
+    split = [(i, (t or "").split()) for i, t in rows]
+    count = [[Counter(), Counter(), Counter()] for _ in range(2)]
+    own = lambda ws: (Counter(ws), Counter(["", *ws[:-1]] if ws else []), Counter(zip(["", *ws[:-1]], ws)))  # noqa: B905, E731
+    for i, ws in split:
+        for k in (0, 1) if i in good else (1,):
+            for total, mine in zip(count[k], own(ws), strict=True):
+                total.update(mine)
+    totals = [sum(c[0].values()) for c in count]
+    assert models.words == len(count[1][0]) and models.totals == tuple(totals)
+    scale = totals[0] / totals[1]
+    want = []
+    for i, ws in split:
+        one, ctx, two = own(ws)
+        loss = [0.0, 0.0]
+        for k, (x, out) in enumerate(((1.0, float(i in good)), (scale, scale))):
+            for a, b in zip(["", *ws[:-1]], ws, strict=True) if ws else ():
+                p = (x * count[k][0][b] - out * one[b] + 0.5) / (x * totals[k] - out * len(ws) + 0.5 * models.words)
+                c = x * count[k][1][a] - out * ctx[a]
+                loss[k] -= math.log((x * count[k][2][a, b] - out * two[a, b] + 50 * p) / (c + 50))
+        want.append((i, len(ws), *((x / len(ws) for x in (*loss, loss[1] - loss[0])) if ws else (None,) * 3)))
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None)
+        assert g[2] is None or g[2:] == pytest.approx(w[2:], abs=1e-9)
+    with pytest.raises(Exception, match="other documents"):
+        lm_scoring.score(docs.where("doc_id < 900"), ids, models).collect()
+
+
 def test_chat_query_equals_its_sql(spark, tmp_path):
     import duckdb
 
