@@ -102,6 +102,22 @@ def test_nn_descent_equals_brute_force(spark):
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_nn_descent_joins_groups_beyond_full_lists(spark):
+    """Every vector has more and closer neighbours in its own group than its list holds; the links between the groups are links all the same."""
+    rng = np.random.default_rng(12)
+    a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    centres = [a, 0.95 * a + np.sqrt(1 - 0.95**2) * b, -a]
+    x = np.concatenate([c + rng.normal(scale=0.1 / 8, size=(15, 64)) for c in centres])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    assert linked[:30, :30].all() and linked[30:, 30:].all() and not linked[:30, 30:].any()
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    # without audit queries, which compare all of so few vectors
+    out = {r["vec_id"]: r for r in nndescent.near_duplicates(df, audit_queries=0).collect()}
+    assert [out[i]["n_links"] for i in range(45)] == [29] * 30 + [14] * 15
+    assert [out[i]["component_id"] for i in range(45)] == [0] * 30 + [30] * 15
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
