@@ -62,5 +62,51 @@ def test_command_line():
     assert args.mode == "light" and args.no_cardinality_check
 
 
+def test_real_execution_runs_the_clients_tasks(spark, tmp_path):
+    import json
+
+    import pandas as pd
+
+    from weftgraph import CorpusConfig, CorpusGenerator
+
+    class Task:
+        target_name, dataset_id = "y", 77
+
+        def __init__(self, task_id):
+            self.task_type = "Supervised Classification" if task_id == 3 else "Clustering"
+
+        def get_dataset(self):
+            self.name = "toy"
+            return self
+
+        def get_data(self, target, dataset_format):
+            x = pd.DataFrame({"a.b": [float(i % 2) for i in range(40)], "c": ["u", None] * 20})
+            return x, pd.Series(["no", "yes"] * 20), None, None
+
+        def get_train_test_split_indices(self, fold, repeat):
+            return [i for i in range(40) if i // 8 != fold], [i for i in range(40) if i // 8 == fold]
+
+    class Client:
+        def get_suite(self, suite_id):
+            return [3, 6]
+
+        def get_task(self, task_id):
+            return Task(task_id)
+
+    config = CorpusConfig(mode="light", output_dir=str(tmp_path / "c"), n_folds=2, verbose=False, use_real_execution=True)
+    with pytest.raises(ValueError, match="task client"):
+        CorpusGenerator(config, spark)
+    with pytest.raises(SystemExit, match="task client"):
+        cli.main(["generate", "-m", "light", "--real"])
+    generator = CorpusGenerator(config, spark, Client())
+    rows, datasets = generator.execute([(3, "classification"), (6, "classification")])
+    assert [r[1:5] for r in rows] == [(1, 1.0, 32, 8), (2, 1.0, 32, 8)]
+    assert datasets[3]["n_samples"] == 40 and datasets[3]["n_classes"] == 2 and 6 not in datasets
+    found = generator.generate(max_tasks=2)
+    assert found["real_execution"] and found["total_runs"] == 2 and found["real_runs"] == 1
+    texts = {p.parts[-3]: p.read_text() for p in (tmp_path / "c").rglob("prov_*.json")}
+    assert all("77" in json.dumps(json.loads(t)) for k, t in texts.items() if k == "task_3") and set(texts) == {"task_3", "task_6"}
+
+
 def test_entry_has_a_stable_schema(spark):
     assert entry.entry(spark).columns == ["predict", "train"]

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
 from weftgraph.model import KINDS, PREFIXES, RELATIONS
-from weftgraph.operators import compress, documents, generate, patterns, sample, stats, validate
+from weftgraph.operators import compress, documents, generate, learn, patterns, sample, stats, validate
 from weftgraph.operators.validate import CHECKS
 from weftgraph.plans import catalog
 from weftgraph.sources import corpus, sinks
 
+#: Columns of a real fold result.
+REAL = ("run_id", "fold", "score", "train_size", "test_size", "train_start", "train_end", "pred_start", "pred_end", "eval_start", "eval_end")
+REAL_SCHEMA = "run_id string, fold int, score double, train_size long, test_size long, " + ", ".join(f"{c} string" for c in REAL[5:])
+
 
 @dataclass(frozen=True)
 class CorpusConfig:
@@ -120,6 +124,8 @@ class CorpusGenerator:
     """Expands a mode's tasks and grids, validates and writes the documents, and reports."""
 
     def __init__(self, config: CorpusConfig, spark: SparkSession | None = None, client: Any = None) -> None:
+        if config.use_real_execution and client is None:
+            raise ValueError("real execution needs a task client; none is bundled")
         self.config, self.spark = config, spark or SparkSession.builder.getOrCreate()
         self.client = corpus.TaskClient(client) if client is not None and config.use_real_execution else None
 
@@ -127,12 +133,40 @@ class CorpusGenerator:
         live = self.client.suite_task_ids(99) if self.client else None
         return catalog.task_list(self.config.mode, live or None)
 
-    def tables(self, max_tasks: int | None = None, exact: bool = True, real: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(runs, nodes, edges)."""
-        c, tasks = self.config, self.get_tasks()[: max_tasks or None]
+    def _runs(self, tasks: list[tuple[int, str]]) -> DataFrame:
         frame = self.spark.createDataFrame([(i, *t) for i, t in enumerate(tasks)], "task_ord int, task_id long, task_type string")
-        runs = generate.expand_runs(frame, catalog.grid_df(self.spark, c.mode))
-        runs = generate.with_datasets(runs, generate.synthetic_datasets(self.spark, tasks))
+        return generate.expand_runs(frame, catalog.grid_df(self.spark, self.config.mode))
+
+    def execute(self, tasks: list[tuple[int, str]]) -> tuple[list[tuple], dict[int, dict]]:
+        """Every run of the tasks, through the client: rows of ``REAL`` and the datasets of tasks with a real run. A task
+        that can't be had or is of another type, and a run that fails, have none and stay synthetic."""
+        rows, datasets = [], {}
+        runs: dict[tuple[int, str], list] = {}
+        for r in self._runs(tasks).select("run_id", "task_id", "task_type", "model", "params_json").collect():  # at most 76,032
+            runs.setdefault((r["task_id"], r["task_type"]), []).append(r)
+        for (task_id, task_type), todo in runs.items():
+            try:
+                task = self.client.task(task_id)
+                learn.validate_task_type(task.task_type, task_type)
+                df, name = corpus.task_table(self.spark, task, task_type, self.config.n_folds)
+            except Exception as error:  # noqa: BLE001
+                print(f"    SKIP task {task_id}: {error}; using synthetic data")
+                continue
+            df = df.persist()
+            for r in todo:
+                done = learn.execute_or_none(df, "target", task_type, r["model"], json.loads(r["params_json"]), self.config.n_folds, dataset_id=task.dataset_id, name=name)
+                if done is not None:
+                    datasets[task_id] = done["dataset_meta"]
+                    rows += [(r["run_id"], k, *(x[c] for c in REAL[2:])) for k, x in enumerate(done["fold_results"], 1)]
+            df.unpersist()
+        return rows, datasets
+
+    def tables(
+        self, max_tasks: int | None = None, exact: bool = True, real: DataFrame | None = None, datasets: dict[int, dict] | None = None
+    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(runs, nodes, edges). datasets: metadata that replaces the synthetic one, by task."""
+        c, tasks = self.config, self.get_tasks()[: max_tasks or None]
+        runs = generate.with_datasets(self._runs(tasks), generate.synthetic_datasets(self.spark, tasks, datasets))
         runs = runs.withColumn("now", F.lit(S.now_text()).cast("timestamp"))
         nodes, edges = generate.generate(runs, c.n_folds, exact, real, S.environment())
         return runs, nodes, edges
@@ -143,7 +177,9 @@ class CorpusGenerator:
         tasks = self.get_tasks()[: max_tasks or None]
         say = print if c.verbose else lambda *_: None
         say(f"{c.mode} mode: {len(tasks)} tasks, {catalog.expected_runs(tasks, c.mode):,} runs -> {c.output_dir}")
-        runs, nodes, edges = self.tables(max_tasks, exact)
+        rows, datasets = self.execute(tasks) if self.client else ([], {})
+        real = self.spark.createDataFrame(rows, REAL_SCHEMA) if rows else None
+        runs, nodes, edges = self.tables(max_tasks, exact, real, datasets)
         held = [t.persist() for t in (runs, nodes, edges)]  # read by the writer, the checks and the statistics
         docs = documents.to_documents(nodes, edges).persist()
         out, report = Path(c.output_dir), None
@@ -160,9 +196,11 @@ class CorpusGenerator:
         n_clf = sum(t == catalog.CLASSIFICATION for _, t in tasks)
         found = {
             "total_runs": written["n"], "total_files": written["n"], "total_bytes": written["bytes"], "tasks_processed": len(tasks),
-            "classification_tasks": n_clf, "regression_tasks": len(tasks) - n_clf, "real_execution": False,
+            "classification_tasks": n_clf, "regression_tasks": len(tasks) - n_clf, "real_execution": bool(rows),
             "graph_structure": {f"{m}_per_graph": {k: graph[f"{m}_{k}"] for k in ("min", "max", "total", "avg")} for m in stats.MEASURES} | {"edge_breakdown": edge_n},
         }
+        if self.client:
+            found["real_runs"] = len({r[0] for r in rows})
         extended = {"large": len(catalog.EXTENDED), "full": len(catalog.EXTENDED_FULL)}.get(c.mode, 0)
         sources = {"CC18": len(catalog.CURATED), "extended_classification": extended, "regression": len(catalog.REGRESSION_TASKS) if c.mode == "full" else 0}
         sinks.write_json(sinks.manifest(c.mode, found, sources), out / "corpus_manifest.json")

@@ -45,8 +45,10 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None, ask=input) -> int:
+def main(argv: list[str] | None = None, ask=input, client=None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "generate" and args.real and client is None:
+        raise SystemExit("--real needs a task client, and none is bundled: call main() with one")
     spark = SparkSession.builder.appName("weftgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "evaluate":
         evaluate(spark, args.corpus, args.label, args.sample, args.outdir, args.seed, not args.quiet)
@@ -62,7 +64,7 @@ def main(argv: list[str] | None = None, ask=input) -> int:
         validate=args.validate, validation_checks=split_names(args.validation_checks), validation_policy=args.validation_policy,
         validation_cardinality=not args.no_cardinality_check,
     )
-    CorpusGenerator(config, spark).generate(args.max_tasks)
+    CorpusGenerator(config, spark, client).generate(args.max_tasks)
     return 0
 
 

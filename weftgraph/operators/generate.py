@@ -36,9 +36,9 @@ def with_datasets(runs: DataFrame, datasets: DataFrame | None = None) -> DataFra
     return runs.select("*", F.col("task_id").alias("dataset_id"), h("samples", 500, 50000).alias("n_samples"), h("features", 10, 500).alias("n_features"), metric.alias("metric"))
 
 
-def synthetic_datasets(spark: SparkSession, tasks: list[tuple[int, str]]) -> DataFrame:
-    """The datasets that Python's generator gives for a task list (at most some hundred tasks)."""
-    rows = {t: S.dataset_info(t, kind) for t, kind in tasks}
+def synthetic_datasets(spark: SparkSession, tasks: list[tuple[int, str]], real: dict[int, dict] | None = None) -> DataFrame:
+    """The datasets that Python's generator gives for a task list (at most some hundred tasks); those in ``real`` replace them."""
+    rows = {t: S.dataset_info(t, kind) for t, kind in tasks} | (real or {})
     cols = ("dataset_id", "dataset_name", "n_samples", "n_features", "n_classes", "task_type", "metric")
     return spark.createDataFrame(
         [(t, *(d[c] for c in cols)) for t, d in rows.items()],

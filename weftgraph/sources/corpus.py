@@ -73,6 +73,33 @@ class TaskClient:
         return with_retries(lambda: self.client.get_task(task_id), retries, delay, sleep=self.sleep)
 
 
+def task_table(spark: SparkSession, task: Any, task_type: str, folds: int) -> tuple[DataFrame, str]:
+    """Features f0, f1, ..., target and fold (0-based, repeat 0 of the task's own splits; -1: in no test fold), and the
+    dataset's name. The client's data is a pandas frame in the driver. Classes are coded by their sorted names."""
+    dataset = task.get_dataset()
+    x, y, _, _ = dataset.get_data(target=task.target_name, dataset_format="dataframe")
+    fold = [-1] * len(x)
+    for k in range(folds):
+        train, test = (set(map(int, i)) for i in task.get_train_test_split_indices(fold=k, repeat=0))
+        if train & test or len(train) + len(test) != len(x) or any(fold[i] >= 0 for i in test):
+            raise UnsupportedTask(f"fold {k} is not one of a cross-validation")
+        for i in test:
+            fold[i] = k
+    columns, types = [], []
+    for name in x.columns:
+        number = x[name].dtype.kind in "iuf"
+        missing = x[name].isna().tolist()
+        columns.append([None if m else float(v) if number else str(v) for v, m in zip(x[name].tolist(), missing, strict=True)])
+        types.append("double" if number else "string")
+    target = list(y)
+    if task_type == "classification":
+        code = {v: float(i) for i, v in enumerate(sorted(set(target), key=str))}
+        target = [code[v] for v in target]
+    rows = list(zip(*columns, map(float, target), fold, strict=True))
+    schema = ", ".join([*(f"f{i} {t}" for i, t in enumerate(types)), "target double", "fold int"])
+    return spark.createDataFrame(rows, schema), dataset.name
+
+
 def load_env_file(path: str | Path) -> dict[str, str]:
     """KEY=value lines of an .env file; variables that are set already win. Values are never printed."""
     found = {}
