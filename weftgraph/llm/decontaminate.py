@@ -2,17 +2,20 @@
 
 A window that is similar enough to an item has some of its shingles, so only windows that contain an
 item's shingle are fingerprinted; this skips nothing that could match. Fingerprints of windows are
-looked up in a multi-index: 64 bits in 8 blocks of 8. Two fingerprints within ``radius`` bits agree
-in some block up to ``radius // 8`` bits, so the blocks' neighbour lists hold all items within the
-radius. Candidates are verified by the exact weighted (multiset) similarity of shingles.
+looked up in a multi-index: 256 bits in 16 blocks of 16. Of two fingerprints within 63 bits, at least 4
+blocks differ by 4 bits or fewer (else 13 blocks would differ by 65 bits in all), so the items that are near in
+4 blocks hold all items within the radius; of unrelated items that is one in some hundred. Candidates are
+verified by the exact weighted (multiset) similarity of shingles.
 
-Of windows at a similarity of 0.8, fewer than one in 100,000 has a fingerprint further than 23 bits
+Of windows at a similarity of 0.8, about one in 100,000 has a fingerprint further than 63 bits
 from the item's; equal windows are always found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +23,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
-from weftgraph.llm.storage import lean_batches, without
+from weftgraph.llm.storage import lean_batches
 
-BLOCKS = 8
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+BITS, BLOCKS = 256, 16
+_LANES = np.random.default_rng(23).integers(1, 1 << 62, BITS // 64).astype(np.uint64)
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """[n, 8] bytes from sums of +1/-1 by bit: [n, 64]."""
-    return np.packbits(sums > 0, axis=1)
+    """[n, BLOCKS] blocks of 16 bits from sums of +1/-1 by bit: [n, BITS]."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
-    """+1/-1 by bit of each hash: [n, 64]."""
-    b = np.unpackbits(np.ascontiguousarray(K.mix(h)).view(np.uint8).reshape(-1, 8), axis=1)
-    return b.astype(np.int32) * 2 - 1
+    """+1/-1 by bit of each hash: [n, BITS]."""
+    lanes = K.mix(h[:, None] ^ _LANES)
+    return np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1).astype(np.int32) * 2 - 1
+
+
+@cache
+def near_blocks(radius: int) -> tuple[int, int]:
+    """(bits, blocks): fingerprints within ``radius`` have at least so many blocks within so many bits. Of all such
+    pairs, the one that fewest unrelated fingerprints fulfil."""
+    best = None
+    for bits in range(17):
+        blocks = BLOCKS - radius // (bits + 1)  # so many can't differ by more
+        if blocks > 0:
+            p = sum(comb(16, i) for i in range(bits + 1)) / 2**16
+            chance = sum(comb(BLOCKS, i) * p**i * (1 - p) ** (BLOCKS - i) for i in range(blocks, BLOCKS + 1))
+            best = min(best or (2.0, 0, 0), (chance, bits, blocks))
+    return best[1:]
 
 
 class Index:
-    """Items by length in words, with their fingerprints, neighbour lists and shingles."""
+    """Items by length in words, with the blocks of their fingerprints and their shingles."""
 
     def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int) -> None:
         self.shingle, self.radius, self.ids = shingle, radius, ids
@@ -51,7 +68,7 @@ class Index:
             self.bag.append(dict(zip(values.tolist(), counts.tolist(), strict=True)))
             prints.append(fingerprints(_bits(h).sum(0, keepdims=True))[0])
             posts.append(np.stack([values, np.full(len(values), n, np.uint64)], 1))
-        self.prints = np.array(prints, np.uint8).reshape(-1, BLOCKS)
+        self.prints = np.array(prints, np.uint16).reshape(-1, BLOCKS)
         posts = np.concatenate(posts) if posts else np.zeros((0, 2), np.uint64)
         posts = posts[np.argsort(posts[:, 0], kind="stable")]
         self.shingles, first = np.unique(posts[:, 0], return_index=True)
@@ -60,21 +77,26 @@ class Index:
         self.maybe[self.shingles >> np.uint64(44)] = True
         self.of_length = {n: np.flatnonzero(np.array(self.size) == n) for n in set(self.size)}
         self.short = sorted({n for n in self.size if 0 < n < shingle})
-        #: near[length][block][value]: the items of the length whose block is near the value
-        near = np.array([[_POPCOUNT[a ^ b] <= radius // BLOCKS for b in range(256)] for a in range(256)])
-        self.near = {
-            n: [[items[near[v][self.prints[items, b]]] for v in range(256)] for b in range(BLOCKS)]
-            for n, items in self.of_length.items()
-            if n
-        }
-
-    def lookup(self, length: int, prints: np.ndarray) -> list[tuple[int, int]]:
+        #: A whole text that is shorter than the item can lie further off at the same similarity (4 of 5 shingles: 19 % of the bits).
+        self.short_radius = radius + BITS // 20
+        self.columns = {n: np.ascontiguousarray(self.prints[items].T) for n, items in self.of_length.items()}
+        self.compared = self.candidates = 0
+
+    def lookup(self, length: int, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
         """(row of ``prints``, item) of all items of the length within the radius."""
-        lists, out = self.near[length], []
-        for row, p in enumerate(prints):
-            found = np.unique(np.concatenate([lists[b][p[b]] for b in range(BLOCKS)]))
-            far = _POPCOUNT[self.prints[found] ^ p].sum(1)
-            out += [(row, int(i)) for i in found[far <= self.radius]]
+        columns, items, out = self.columns[length], self.of_length[length], []
+        bits, blocks = near_blocks(radius)
+        step = max(1, (1 << 21) // len(items))
+        for lo in range(0, len(prints), step):
+            part = prints[lo : lo + step]
+            near = np.zeros((len(part), len(items)), np.uint8)
+            for b in range(BLOCKS):
+                near += np.bitwise_count(part[:, b, None] ^ columns[b]) <= bits
+            row, found = np.nonzero(near >= blocks)
+            far = np.bitwise_count(part[row] ^ columns[:, found].T).sum(1, dtype=np.int64)
+            self.compared, self.candidates = self.compared + near.size, self.candidates + len(row)
+            within = far <= radius
+            out += zip((row[within] + lo).tolist(), items[found[within]].tolist(), strict=True)
         return out
 
 
@@ -84,6 +106,10 @@ def _similarity(window: np.ndarray, bag: dict[int, int]) -> float:
     return both / (len(window) + sum(bag.values()) - both)
 
 
+#: Windows that are fingerprinted at once, a kilobyte each.
+_REGION = 2048
+
+
 def _matches(h: np.ndarray, n_words: int, index: Index, hits: np.ndarray, threshold: float) -> dict[int, tuple[float, int]]:
     """item -> (similarity, first word) of the best window of one text; ``h``: its shingles in order."""
     k, best = index.shingle, {}
@@ -100,14 +126,15 @@ def _matches(h: np.ndarray, n_words: int, index: Index, hits: np.ndarray, thresh
         p = np.array(places)
         starts = np.unique(np.maximum(0, np.minimum(last, (p[:, None] - np.arange(span)[None, :]).ravel())))
         for piece in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):  # windows that overlap, together
-            lo, hi = int(piece[0]), int(piece[-1]) + span
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(h[lo:hi]), 0)])
-            prints = fingerprints(sums[piece - lo + span] - sums[piece - lo])
-            for row, item in index.lookup(n, prints):
-                start = int(piece[row])
-                s = _similarity(h[start : start + span], index.bag[item])
-                if s >= threshold and s > best.get(item, (0, 0))[0]:
-                    best[item] = (s, start)
+            for part in np.split(piece, range(_REGION, len(piece), _REGION)):
+                lo, hi = int(part[0]), int(part[-1]) + span
+                sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(h[lo:hi]), 0)])
+                prints = fingerprints(sums[part - lo + span] - sums[part - lo])
+                for row, item in index.lookup(n, prints, index.radius if n_words >= n else index.short_radius):
+                    start = int(part[row])
+                    s = _similarity(h[start : start + span], index.bag[item])
+                    if s >= threshold and s > best.get(item, (0, 0))[0]:
+                        best[item] = (s, start)
     return best
 
 
@@ -146,34 +173,30 @@ def _scan(index: Index, threshold: float):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 23, block_rows: int = 20_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 63, block_rows: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, similarity, first_word: the best window of each document for each item it contains.
 
     Words are runs of ASCII letters, digits and longer characters, A-Z taken as a-z. A window has as many words as
     the item, or is the whole text where that is shorter; its similarity is the sum of the smaller counts over
     the sum of the larger counts of shingles of ``shingle`` words. An item of fewer words matches its exact
     sequence. Null, empty and wordless texts and items match nothing; a null doc_id stays null and rows of
-    a null item_id are left out. The index is broadcast, ``block_rows`` items at a time: documents are
-    scanned once for each such block.
+    a null item_id are left out. Rows that repeat a doc_id are matched each; of equal windows the first counts.
+    The index goes to the tasks, about ``block_rows`` items and ``block_bytes`` bytes of their texts at a time:
+    documents are scanned once for each such block.
     """
     lean_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, item_id long, similarity double, first_word long"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // block_rows))
+    held = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-held["n"] // block_rows), -(-held["bytes"] // block_bytes))
     out = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about block_rows
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # a block
         index = Index([r["item_id"] for r in rows], [r["text"] for r in rows], shingle, radius)
         if not len(index.shingles):
             continue
         found = texts.mapInArrow(_scan(index, threshold), kind)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], kind)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows of a null doc_id stay."""
-    hit = matches(docs, benchmark, **parameters).select("doc_id").distinct()
-    return without(docs, hit)

@@ -1,33 +1,79 @@
 """Sharding by sampled splitters.
 
-Records are range-partitioned by (hash of the text, doc_id). Splitters are quantiles of a sample in
-which a record's chance is its share of all bytes; ranges that turn out overfull get splitters from a
-denser sample of their own. Exact sizes of the ranges (a table of bounded length) then place every
-record on one scale of bytes from 0 to the total, which is cut into equal shards. Equal texts are
-neighbours on that scale and stay together, unless their group is larger than ``split_share`` of a
-shard and lies across a cut: such hot groups are divided at the exact byte.
+Equal texts are a group, and groups lie on one scale of bytes in the order of their hashes. Splitters are
+quantiles of a sample in which a record's chance grows with its size; they range-partition the records by
+hash, and ranges that turn out overfull get splitters from a denser sample of their own. Groups that are large
+in bytes or rows (of which there are few) have ranges of their own, cut further by a random key, so that no
+task holds a large group.
+
+Large groups are put first, best fit, each into one shard; only a group for which no shard has room is
+divided. The other groups then fill the room that is left, in the order of the scale and undivided.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.storage import materialise, release
 
+_LEAST = -(1 << 63)
+_MAX_CUTS = 20
 
-def _draw(meta: DataFrame, wanted: float, total: int, seed: int) -> list[tuple[int, int]]:
-    """Sorted (h, d) of about ``wanted`` records, by bytes: at most so many in expectation, whatever the input."""
+
+class Layout(NamedTuple):
+    """Where the scale is cut: a place p belongs to ``shard[i]`` of the last ``begin[i] <= p``."""
+
+    begin: np.ndarray
+    shard: np.ndarray
+    segment: dict[int, float]  # where each large group begins, by hash
+
+
+def arrange(total: int, shards: int, large: list[tuple[int, int]]) -> Layout:
+    """Cuts for a scale that has all small groups from 0 on and then each of the ``large`` (hash, bytes)."""
+    target = max(total, 1) / shards
+    room = [target] * shards
+    small = total - sum(n for _, n in large)
+    pieces, segment, at = [], {}, float(small)
+    for h, n in sorted(large, key=lambda x: (-x[1], x[0])):
+        segment[h], begin, left = at, at, float(n)
+        fits = [(r, s) for s, r in enumerate(room) if r >= left]
+        if fits:
+            _, s = min(fits)
+            room[s] -= left
+            pieces.append((begin, s))
+        else:
+            while left > 1e-6:  # as few shards as can be
+                s = int(np.argmax(room))
+                take = min(room[s], left) if room[s] > 1e-6 else left
+                room[s] -= take
+                left -= take
+                pieces.append((begin, s))
+                begin += take
+        at += n
+    begin = 0.0
+    for s, r in enumerate(room):
+        if r > 0:
+            pieces.append((begin, s))
+            begin += r
+    pieces.sort(key=lambda x: x[0])
+    return Layout(np.array([p for p, _ in pieces]), np.array([s for _, s in pieces], np.int32), segment)
+
+
+def _draw(meta: DataFrame, wanted: float, weight: float, seed: int) -> list[tuple[int, int]]:
+    """Sorted (h, d) of about ``wanted`` of records that weigh ``weight``, whatever their number."""
     unit = F.shiftrightunsigned(F.xxhash64("d", "h", F.lit(seed)), 11) / float(1 << 53)
-    rows = meta.where(unit < F.col("size") * (wanted / max(total, 1))).select("h", "d").collect()
+    rows = meta.where(unit < F.col("weight") * (wanted / weight)).select("h", "d").collect()
     return sorted((r.h, r.d) for r in rows)
 
 
 def _range_udf(splitters: list[tuple[int, int]]):
+    """The number of splitters (h, d) at or below a record."""
     hs = np.array([s[0] for s in splitters], np.int64)
     ds = np.array([s[1] for s in splitters], np.int64)
 
@@ -35,21 +81,55 @@ def _range_udf(splitters: list[tuple[int, int]]):
     def number(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for h, d in it:
             h, d = h.to_numpy(), d.to_numpy()
-            lo, hi = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
-            for i in np.unique(lo[lo < hi]):  # the hashes that are splitters themselves: d decides
-                rows = np.flatnonzero((lo == i) & (hi > i))
-                lo[rows] = i + np.searchsorted(ds[i : hi[rows[0]]], d[rows], "left")
-            yield pd.Series(lo.astype(np.int32))
+            lo, out = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
+            for i in np.unique(lo[out - lo > 1]):  # the hashes of several splitters: d decides
+                rows = np.flatnonzero((lo == i) & (out > i))
+                out[rows] = i + np.searchsorted(ds[i : out[rows[0]]], d[rows], "right")
+            yield pd.Series(out.astype(np.int32))
 
     return number
 
 
-def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, samples_per_range: int = 32, split_share: float = 0.01, seed: int = 17) -> DataFrame:
+def _shard_udf(layout: Layout):
+    @F.pandas_udf("int")
+    def number(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for place in it:
+            yield pd.Series(layout.shard[np.maximum(0, np.searchsorted(layout.begin, place.to_numpy(), "right") - 1)])
+
+    return number
+
+
+def _cut(meta: DataFrame, large: list[int], ranges: int, samples_per_range: int, seed: int) -> tuple[DataFrame, list[int | None]]:
+    """Rows with their range, none of which is overfull, and the large group that each range belongs to."""
+    sample = _draw(meta, ranges * samples_per_range, 1.0, seed)
+    edges = {x for h in large for x in ((h, _LEAST), (h + 1, _LEAST)) if x[0] < 1 << 63}
+    whole = set(large)
+    splitters = edges
+    for again in range(_MAX_CUTS):
+        picked = {sample[len(sample) * i // ranges] for i in range(1, ranges)} if sample else set()
+        splitters = sorted({*splitters, *((h, d if h in whole else _LEAST) for h, d in picked)})
+        placed = meta.withColumn("range", _range_udf(splitters)("h", "d") if splitters else F.lit(0))
+        filled = placed.groupBy("range").agg(F.sum("weight").alias("w")).where(F.col("w") > 4 / ranges).collect()
+        if not filled:
+            break
+        over = sum(r["w"] for r in filled)
+        sample = _draw(placed.where(F.col("range").isin(sorted(r["range"] for r in filled))), ranges * samples_per_range, over, seed + 1 + again)
+    else:
+        raise RuntimeError(f"ranges stay overfull after {_MAX_CUTS} rounds of splitters")
+    owner = [None, *(h if h in whole else None for h, _ in splitters)]
+    return placed, owner
+
+
+def shard(
+    docs: DataFrame, shards: int = 8, rows_per_range: int = 200_000, samples_per_range: int = 32, large_share: float = 0.01, seed: int = 17
+) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null): a row for each row of ``docs``.
 
     size: UTF-8 bytes of the text plus 1; a null text has size 1 and a null checksum, an empty one size 1
-    and checksum 0. slot runs from 0 without gaps in each shard. Rows that repeat doc_id and text share
-    a place on the scale and get different slots. A null doc_id sorts first among equal texts.
+    and checksum 0. Null texts are a group. A group of equal texts is in one shard, unless it is larger than what any
+    shard has room for when its turn comes. slot runs from 0 without gaps in each shard. Rows that repeat
+    doc_id and text get different slots. Shards differ by less than ``large_share`` of a shard, but for single
+    rows that are larger. Ranges hold about ``rows_per_range`` rows, or what a 256th of the table weighs.
     """
     raw = F.col("text").cast("string")
     meta = docs.select(
@@ -57,56 +137,42 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, samples_per_range
         (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.xxhash64(raw, F.lit(seed)).alias("h"),
-    ).withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63))))
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("d"),  # written once: equal rows differ, too
+    )
     meta = materialise(meta, "sizes")
-    total = meta.agg(F.sum("size")).first()[0] or 0
-    target = max(total, 1) / shards
-
-    sample = _draw(meta, ranges * samples_per_range, total, seed)
-    splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    for again in range(4):
-        placed = meta.withColumn("range", _range_udf(splitters)("h", "d")) if splitters else meta.withColumn("range", F.lit(0))
-        filled = {r["range"]: r["s"] for r in placed.groupBy("range").agg(F.sum("size").alias("s")).collect()}
-        over = {r for r, s in filled.items() if s > 4 * max(total, 1) / ranges}
-        if not over:
-            break
-        more = _draw(placed.where(F.col("range").isin(sorted(over))), ranges * samples_per_range, total, seed + 1 + again)
-        grown = sorted(set(splitters) | {more[len(more) * i // ranges] for i in range(1, ranges)} if more else splitters)
-        if grown == splitters:
-            break
-        splitters = grown
-    placed = materialise(placed, "placed")
-
-    def offsets(frame: DataFrame, by: list[str], what: dict[str, str]) -> list:
-        return frame.groupBy(*by).agg(*(F.sum(v).alias(k) if v != "*" else F.count("*").alias(k) for k, v in what.items())).collect()
+    first = meta.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    total, n = first["bytes"] or 0, first["rows"]
+    groups = meta.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    most = large_share / shards  # of all bytes or rows: so there are fewer than 2 / most large groups
+    large: list[Row] = groups.where((F.col("bytes") > most * total) | (F.col("rows") > max(most * n, 1))).collect()
+    layout = arrange(total, shards, [(g["h"], g["bytes"]) for g in large])
+    weighed = meta.withColumn("weight", F.col("size") / (2.0 * max(total, 1)) + 1 / (2.0 * max(n, 1)))
+    placed, owner = _cut(weighed, [g["h"] for g in large], max(256, -(-n // rows_per_range)), samples_per_range, seed)
+    placed = materialise(placed.drop("weight"), "placed")
 
     spark = docs.sparkSession
-    at, rows = 0, []
-    for r in sorted(offsets(placed, ["range"], {"bytes": "size"}), key=lambda r: r["range"]):  # one row a range
-        rows.append((r["range"], at))
-        at += r["bytes"]
-    base = F.broadcast(spark.createDataFrame(rows, "range int, base long"))
-
-    # hot groups are placed by record; a group that is small is placed as a whole, by its middle
+    at, small, rows = dict(layout.segment), 0.0, []
+    for r, size in sorted((r["range"], r["s"]) for r in placed.groupBy("range").agg(F.sum("size").alias("s")).collect()):  # one row a range
+        if owner[r] is None:
+            rows.append((r, small, False))
+            small += size
+        else:
+            rows.append((r, float(at[owner[r]]), True))
+            at[owner[r]] += size
+    base = F.broadcast(spark.createDataFrame(rows, "range int, base double, large boolean"))  # bounded by the ranges
     in_order = Window.partitionBy("range").orderBy("h", "d")
     same = Window.partitionBy("range", "h")
-    scale = (
-        placed.join(base, "range")
-        .withColumn("begin", F.col("base") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("group_bytes", F.sum("size").over(same))
-        .withColumn("group_begin", F.min("begin").over(same))
-    )
-    alone = F.col("group_bytes") > split_share * target
-    middle = F.when(alone, F.col("begin") + F.col("size") / 2).otherwise(F.col("group_begin") + F.col("group_bytes") / 2)
-    scale = scale.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / target)).cast("int"))
+    scale = placed.join(base, "range").withColumn("begin", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    inside = F.when(F.col("large"), F.col("begin") + F.col("size") / 2).otherwise(F.min("begin").over(same) + F.sum("size").over(same) / 2)
+    scale = scale.withColumn("shard", _shard_udf(layout)(F.col("base") + inside))
     scale = materialise(scale.select("doc_id", "size", "text_crc32", "h", "d", "range", "shard"), "sharded")
     release(meta, placed)
 
-    first: dict[int, int] = {}
+    first_slot: dict[int, int] = {}
     rows = []
-    for r in sorted(offsets(scale, ["range", "shard"], {"n": "*"}), key=lambda r: (r["shard"], r["range"])):
-        rows.append((r["range"], r["shard"], first.get(r["shard"], 0)))
-        first[r["shard"]] = first.get(r["shard"], 0) + r["n"]
+    for s, r, k in sorted((r["shard"], r["range"], r["n"]) for r in scale.groupBy("range", "shard").agg(F.count("*").alias("n")).collect()):
+        rows.append((r, s, first_slot.get(s, 0)))
+        first_slot[s] = first_slot.get(s, 0) + k
     base = F.broadcast(spark.createDataFrame(rows, "range int, shard int, first long"))
     slot = F.col("first") + F.row_number().over(Window.partitionBy("range", "shard").orderBy("h", "d")) - 1
     return scale.join(base, ["range", "shard"]).select(
