@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.storage import materialise, release
 
+#: Of the rows of a table: hits(x, others) says which of the others (row numbers) row x is linked with.
+Kernel = Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of complete groups from batches that come sorted by ``keys`` (integers, not null), and the
@@ -42,65 +45,155 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield cut(rest)
 
 
-def block_pairs(rows: DataFrame, group: str, size: Column, limit: int, keep: list[str]) -> DataFrame:
-    """Rows dealt to tasks by (group, block, block2): groups over ``limit`` rows are cut into blocks by a hash of
-    id, and every pair of blocks, a block with itself included, is a task's worth. side: 0 and 1 for the
-    rows of the two blocks, 2 for a block with itself."""
-    rows = rows.withColumn("blocks", F.ceil(size / limit).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        group, F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), side.alias("side"), "id", *keep
-    )
-    return rows.repartition(group, "block", "block2").sortWithinPartitions(group, "block", "block2")
-
-
-def spanning(left: np.ndarray, right: np.ndarray | None, hits: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest between two sets of nodes, or within one (right: None). hits(x, others) says
-    which of the others x is linked with; a node is asked about those only that nothing has reached yet."""
-    free = [left, left if right is None else right]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(free[0]):
-        stack = [(0, int(free[0][0]))]
-        free[0] = free[0][1:]
-        while stack:
-            side, x = stack.pop()
-            at = 0 if right is None else 1 - side
-            others = free[at]
-            if not len(others):
-                continue
-            hit = hits(x, others)
+#: A key with more than one in so many rows is hot; there are fewer than so many such keys, whatever the table.
+HOT = 256
+_FEW_ROWS = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counted`` on ``key``, where counted has each key once, ``n`` is at least the number of
+    rows of the key and ``total`` at least the sum of n. Hot keys, which a shuffle would send to one task each, are
+    fewer than HOT and are broadcast; all others are joined by a shuffle. Both frames are read twice."""
+    is_hot = F.col(n) > max(_FEW_ROWS, total // HOT)
+    hot = F.broadcast(counted.where(is_hot))
+    cold = rows.join(F.broadcast(counted.where(is_hot).select(key)), key, "left_anti").join(counted.where(~is_hot), key)
+    joined = rows.join(hot, key)
+    return joined.unionByName(cold.select(*joined.columns))
+
+
+def trees(n: int, hits: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) pairs of a spanning forest of the nodes 0..n-1: stars around the first node of each tree.
+    hits(x, others) says which of the others x is linked with; a node is asked about those only that nothing has
+    reached yet. Nodes of equal ``label`` count as linked."""
+    free = np.arange(n)
+    roots, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(free):
+        root = int(free[0])
+        free, stack = free[1:], [root]
+        while stack and len(free):
+            x = stack.pop()
+            if label is None:
+                hit = hits(x, free)
+            else:
+                hit = label[free] == label[x]
+                hit[~hit] = hits(x, free[~hit])
             if hit.any():
-                found = others[hit]
-                free[at] = others[~hit]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                stack += [(at, int(y)) for y in found]
-    return np.concatenate(a), np.concatenate(b)
+                found, free = free[hit], free[~hit]
+                roots.append(np.full(len(found), root))
+                nodes.append(found)
+                stack += found.tolist()
+    return np.concatenate(roots), np.concatenate(nodes)
+
+
+def _links_of(kernel: Kernel):
+    """Stars of the forests of groups of rows; a row that comes twice (as a member and as a hub) counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, ["group", "block", "chunk"]):
+            ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
+            a, b = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                at = lo + np.flatnonzero(np.append(True, ids[lo + 1 : hi] != ids[lo : hi - 1]))
+                if len(at) < 2:
+                    continue
+                root, node = trees(len(at), kernel(table.take(pa.array(at))), labels[at])
+                a.append(ids[at[root]])
+                b.append(ids[at[node]])
+            if a:
+                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def linked_groups(rows: DataFrame, kernel: Kernel, max_rounds: int = 4) -> DataFrame:
+    """(node, component) by the links within groups: ``rows`` has group, id (long, once in a group), m (rows of the group),
+    blocks (into how many its size cuts it) and what ``kernel`` needs. kernel(table) gives hits(x, others) for the
+    rows of a table. No link between the rows of a group is missed.
+
+    A group of one block is one task's work. The rows of a larger group meet within their block, and with hubs:
+    about a block's worth of sampled rows that every block gets a copy of. That leaves few components in a group of
+    near copies. As long as a group has several, the rows outside its largest one, the rest, give the next
+    hubs; if all of them fit into a block, that round is the group's last. A rest that ``max_rounds`` don't bring
+    down to a block meets all blocks of its group, in pieces. Rows of groups that hang together so are copied a
+    few times at most, however large the group is.
+    """
+    blank = rows.withColumns({"label": F.col("id"), "rest": F.lit(True), "share": 1.0 / F.col("blocks")})
+    payload = [c for c in rows.columns if c not in ("group", "id", "m", "blocks")]
+
+    def meet(state: DataFrame, salt: int, last: bool) -> DataFrame:
+        keep = ["group", "block", "chunk", "id", "label", *payload]
+        chunks = F.when(F.col("share") >= 1, 1).otherwise(F.ceil(1 / F.col("share"))).cast("int") if last else F.lit(1)
+        state = state.withColumns({"chunks": chunks, "own": F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int")})
+        members = state.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", F.col("own"))
+        unit = F.shiftrightunsigned(F.xxhash64(F.lit("hub"), "id", F.lit(salt)), 11) / float(1 << 53)
+        piece = F.floor(unit * F.col("chunks")).cast("int") if last else F.lit(0)
+        hubs = state.where("rest and blocks > 1")
+        hubs = hubs if last else hubs.where((F.col("share") >= 1) | (unit < F.col("share")))
+        hubs = hubs.withColumn("chunk", piece).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = members.select(*keep).unionByName(hubs.select(*keep))
+        dealt = dealt.repartition("group", "block", "chunk").sortWithinPartitions("group", "block", "chunk", "id")
+        return materialise(dealt.mapInArrow(_links_of(kernel), "a long, b long"), "met")
+
+    found = meet(blank, 0, False)
+    labels = components(found)
+    large = rows.where("blocks > 1")
+    if not large.limit(1).count():
+        release(found)
+        return labels
+    held = [found]
+    for salt in range(1, max_rounds + 1):
+        own = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        own = materialise(own, "state")
+        sizes = own.groupBy("group", "label").agg(F.count("*").alias("k"))
+        sizes = sizes.groupBy("group").agg(F.max_by("label", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"))
+        sizes = materialise(sizes.where("k < n"), "open")  # of the groups that are cut into blocks
+        if not sizes.limit(1).count():
+            release(own, sizes)
+            break
+        state = join_counted(own, sizes, "group", "n", own.count())
+        state = state.withColumns({"rest": F.col("label") != F.col("main"), "share": F.col("m") / ((F.col("n") - F.col("k")) * F.col("blocks"))})
+        last = salt == max_rounds
+        more = meet(state, salt, last)
+        ended = not more.limit(1).count()
+        next_labels = labels if ended else components(more.union(labels.select("node", "component")))
+        rest = state.where("share < 1")
+        large = None if last else materialise(rest.select(*rows.columns), "large")
+        release(own, sizes, *held)
+        held = [more] if large is None else [more, large]
+        if next_labels is not labels:
+            labels = next_labels
+        if large is None or not large.limit(1).count():
+            break
+    release(*held)
+    return labels
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable from each end of ``edges`` (columns a, b; long).
+    """(node, component): the smallest node reachable from each end of ``edges`` (two columns of long).
 
     Alternates the large-star and small-star steps: every round is a grouped minimum and a join, links
-    never reach the driver, and the number of rounds follows the logarithm of the longest path.
-    Null ends and loops are ignored; nodes without a link to another node aren't returned.
+    never reach the driver, and the number of rounds follows the logarithm of the longest path. Nodes with
+    very many links don't gather in a task (see join_counted). Null ends and loops are ignored; nodes
+    without a link to another node aren't returned.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    a, b = edges.columns[:2]
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = materialise(e, "links")
     for _ in range(max_rounds):
-        ends = e.select(F.col("v").alias("u")).distinct()
-        if not e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not e.join(ends, "u", "left_semi").limit(1).count():
-            break  # every node points at its root
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        release(e)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"), F.count_if(F.col("v") < F.col("u")).alias("smaller"))
+        low = materialise(low, "nodes")
+        if not low.where("smaller > 0 and n > 1").limit(1).count():
+            break  # every node points at its root
+        total = 2 * e.count()
+        large = join_counted(e.withColumnsRenamed({"u": "far", "v": "u"}), low.select("u", "m", "n"), "u", "n", total)
+        large = materialise(large.select(F.col("far").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(e, low, large)
         e = nxt
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    release(e)
+    return low.select(F.col("u").alias("node"), F.col("m").alias("component"))

@@ -75,7 +75,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
