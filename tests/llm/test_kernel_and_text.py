@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -80,7 +81,28 @@ def test_trie_counts_equal_one_programme_a_word(vocabulary):
     words = [b"the", b"then", b"thenceforth", b"international", "écriture".encode(), "日本".encode(), b"zzzzqx", b"a", b"int"]
     buf, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
     starts = np.append(0, ends)[:-1]
-    assert tokens.trie_counts(buf, starts, ends, vocabulary).tolist() == [brute_tokens(w, vocabulary) for w in words]
+    for few in (0, 3, 256):
+        assert tokens.trie_counts(buf, starts, ends, vocabulary, few).tolist() == [brute_tokens(w, vocabulary) for w in words]
+
+
+def test_long_words_take_linear_time(vocabulary):
+    word = np.random.default_rng(1).integers(97, 123, 100_000).astype(np.uint8)
+    begin = time.perf_counter()
+    assert tokens.trie_counts(word, np.array([0]), np.array([len(word)]), vocabulary)[0] == brute_tokens(word.tobytes(), vocabulary)
+    assert time.perf_counter() - begin < 20  # brute force included
+
+
+def test_words_are_known_across_chunks(vocabulary, monkeypatch):
+    met = []
+    plain = tokens.trie_counts
+    monkeypatch.setattr(tokens, "trie_counts", lambda buf, start, *rest: met.append(len(start)) or plain(buf, start, *rest))
+    vocabulary.known, vocabulary.known_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for texts, new in (("the then the", 2), ("then thence the", 1), ("the", 0), ("one two three", 3), ("the then", 2)):
+        buf = np.frombuffer(texts.encode(), np.uint8)
+        w = K.words(buf, np.array([0, len(buf)]))
+        met.clear()
+        got = tokens.word_counts(buf, w, vocabulary, cached=4)
+        assert got.tolist() == [brute_tokens(x.encode(), vocabulary) for x in texts.split()] and sum(met) == new
 
 
 def test_token_counts_of_odd_texts(spark, vocabulary):

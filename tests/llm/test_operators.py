@@ -20,26 +20,66 @@ def with_clashes(df):
     return df.select("*", *[F.lit("x").alias(c) for c in extra if c not in df.columns])
 
 
-def test_sharding(spark):
-    rng = random.Random(1)
-    rows = [(i, "w" * rng.randint(0, 200)) for i in range(600)] + [(1000 + i, "hot " * 40) for i in range(300)] + [(2000, None), (2001, ""), (2002, "é" * 5000), (3000, "twice"), (3000, "twice")]
-    df = with_clashes(spark.createDataFrame(rows, DOCS))
-    out = sharding.shard(df, shards=4, ranges=16, samples_per_range=8).collect()
-    assert sorted(r["doc_id"] for r in out) == sorted(i for i, _ in rows)
-    total = sum(r["size"] for r in out)
-    longest = max(r["size"] for r in out)
-    by = {}
+def brute_sharding(rows, out, shards, slack):
+    """The law, the groups and the slots of a placement."""
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in out) == sorted((i is not None, i or 0) for i, _ in rows)
+    by, where = {}, {}
     for r in out:
         by.setdefault(r["shard"], []).append(r)
-    assert set(by) == {0, 1, 2, 3}
-    assert all(abs(sum(r["size"] for r in rs) - total / 4) <= longest + 0.02 * total / 4 for rs in by.values())
+    total = sum(r["size"] for r in out)
+    assert total == sum(len((t or "").encode()) + 1 for _, t in rows) and set(by) <= set(range(shards))
+    assert all(abs(sum(r["size"] for r in by.get(s, [])) - total / shards) <= slack for s in range(shards))
     assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in by.values())
     text = dict(rows)
-    assert all(r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 for r in out)
-    assert all(r["text_crc32"] == (None if text[r["doc_id"]] is None else zlib.crc32(text[r["doc_id"]].encode())) for r in out)
+    for r in out:
+        assert r["text_crc32"] == (None if text[r["doc_id"]] is None else zlib.crc32(text[r["doc_id"]].encode()))
+        where.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    return {t: len(s) for t, s in where.items()}
+
+
+def test_sharding_keeps_equal_texts_together(spark):
+    rng = random.Random(1)
+    texts = [f"{i} " + "w" * rng.randint(0, 200) for i in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, rng.choice(texts[:150])) for i in range(500)]
+    rows += [(2000 + i, "warm " * 40) for i in range(30)] + [(2500, None), (2501, None), (2502, ""), (3000, "twice"), (3000, "twice")]
+    df = with_clashes(spark.createDataFrame(rows, DOCS))
+    out = sharding.shard(df, shards=4, rows_per_range=40, samples_per_range=8).collect()
+    spread = brute_sharding(rows, out, 4, 450)
+    assert set(spread.values()) == {1}
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_sharding_divides_what_no_shard_has_room_for(spark):
+    """Half of all rows are one text, a quarter are equal rows, and empty texts are many rows of few bytes."""
+    rng = random.Random(2)
+    rows = [(i, "hot " * 10) for i in range(1000)] + [(7, "same row " * 5)] * 400 + [(5000 + i, "") for i in range(600)]
+    rows += [(9000 + i, "x" * rng.randint(0, 60)) for i in range(200)]
+    names = {7: "same row " * 5} | {i: t for i, t in rows if i >= 5000}
+    rows = [(i + 100_000 if t == "hot " * 10 else i, t) for i, t in rows]
+    out = sharding.shard(spark.createDataFrame(rows, DOCS), shards=4, rows_per_range=50).collect()
+    spread = brute_sharding(rows, out, 4, 100)
+    assert spread["hot " * 10] <= 4 and spread[""] == 1 and sum(k > 1 for k in spread.values()) <= 2 and names
+    places = sorted((r["shard"], r["slot"]) for r in out)
+    assert len(set(places)) == len(rows)
+
+
+def test_arranged_groups_are_divided_last():
+    rng = random.Random(3)
+    for _ in range(50):
+        shards, large = rng.randint(1, 9), [(i, rng.randint(1, 400)) for i in range(rng.randint(0, 12))]
+        total = sum(n for _, n in large) + rng.randint(0, 3000)
+        if not total:
+            continue
+        plan = sharding.arrange(total, shards, large)
+        begin, end = plan.begin, np.append(plan.begin[1:], total)
+        filled = np.bincount(plan.shard, end - begin, shards)
+        assert np.allclose(filled, total / shards) and begin[0] == 0
+        for h, n in large:
+            lo = plan.segment[h]
+            pieces = ((begin < lo + n - 1e-6) & (end > lo + 1e-6)).sum()
+            assert pieces == 1 or n > total / shards or len(large) > shards
+
+
 def test_packing_places_every_piece(spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "de", "la"]
@@ -155,6 +195,36 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(want)
 
 
+def test_index_finds_all_fingerprints_within_the_radius_and_few_others():
+    rng = np.random.default_rng(1)
+    items = rng.integers(0, 2, (800, decontaminate.BITS))
+    index = decontaminate.Index([], [], 5, 63)
+    index.of_length[9] = np.arange(800)
+    index.columns[9] = np.ascontiguousarray(decontaminate.fingerprints(items * 2 - 1).T)
+    asked = items[:300].copy()
+    for row in asked:
+        row[rng.choice(decontaminate.BITS, rng.integers(0, 90), replace=False)] ^= 1
+    far = (asked[:, None] != items[None]).sum(2)
+    for radius in (63, 75, 5):
+        got = index.lookup(9, decontaminate.fingerprints(asked * 2 - 1), radius)
+        assert set(got) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
+    index.compared = index.candidates = 0
+    index.lookup(9, decontaminate.fingerprints(rng.integers(0, 2, (300, decontaminate.BITS)) * 2 - 1), 63)
+    assert index.candidates < 0.01 * index.compared  # of unrelated items
+
+
+def test_fingerprints_of_similar_windows_lie_within_the_radius():
+    rng = np.random.default_rng(2)
+    seen = 0
+    for n in (5, 9, 12, 20, 40, 80):
+        both = int(np.ceil(1.6 * n / 1.8))  # of two windows of n shingles at a similarity of 0.8
+        for _ in range(400):
+            h = rng.integers(0, 1 << 62, 2 * n - both).astype(np.uint64)
+            a, b = (decontaminate.fingerprints(decontaminate._bits(x).sum(0, keepdims=True)) for x in (h[:n], h[n - both :]))
+            seen += int(np.bitwise_count(a ^ b).sum() > 63)
+    assert seen <= 1
+
+
 def test_language_spans_and_undetermined(spark):
     en, de = "the water and the river with that thing ", "und der mann ist nicht schön mit einem "
     rows = [(i, en * 5, "en") for i in range(30)] + [(100 + i, de * 5, "de") for i in range(30)] + [(i + 500, "много слов здесь " * 9, "ru") for i in range(30)]
@@ -186,6 +256,25 @@ def test_viterbi_equals_the_plain_programme():
                 assert abs(mine - value.max()) < 1e-9
 
 
+def test_viterbi_of_two_stretches_that_meet():
+    """A third language is the best single one, but two stretches with one switch between them are better."""
+    scores = np.array([[0, -12, -5], [0, -12, -5], [-12, 0, -5], [-12, 0, -5]], float)
+    assert language.viterbi(scores, np.array([0, 4]), 12.0).tolist() == [0, 0, 1, 1]
+
+
+def test_language_is_right_on_held_out_documents(spark):
+    rng = random.Random(13)
+    bits = {"a": ["ka", "lo", "mi", "ter"], "b": ["sch", "ung", "ein", "er"], "c": ["eau", "tion", "que", "le"]}
+    word = lambda x: "".join(rng.choices(bits[x], k=rng.randint(1, 4)))
+    rows = [(i, " ".join(word(x) for _ in range(rng.randint(3, 60))), x) for i, x in enumerate(rng.choices("abc", k=600))]
+    rows += [(5000, " ".join(word("b") for _ in range(60_000)), "b")]  # a very long one
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    asked = [(i, x) for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(asked) > 100 and sum(found[i] == x for i, x in asked) >= 0.98 * len(asked) and found[5000] == "b"
+
+
 def test_toxicity_finds_marked_texts(spark):
     rng = random.Random(7)
     bad = ["idiot", "scum", "moron", "trash", "clown"]
@@ -204,8 +293,43 @@ def test_toxicity_finds_marked_texts(spark):
     out = {r["doc_id"]: r for r in toxicity.grade(docs, model).collect()}
     assert [i for i, r in out.items() if r["toxic"]] == [i for i in range(0, 600, 6)]
     assert all(0 <= r["expected_severity"] <= len(model.thresholds) for r in out.values())
-    empty = toxicity.train(docs, marks.limit(0))
-    assert not toxicity.grade(docs, empty).where("toxic").count()
+    assert all(r["toxic"] == (r["grade"] > 0) for r in out.values())
+    twice = toxicity.grade(docs.where("doc_id in (0, 1)").unionAll(docs.where("doc_id = 0")).unionAll(spark.createDataFrame([(7, rows[0][1] + " word" * 50_000)], DOCS).select("*", *[F.lit("x").alias(c) for c in docs.columns[2:]])), model)
+    assert sorted((r["doc_id"], r["toxic"]) for r in twice.collect()) == [(0, True), (0, True), (1, False), (7, True)]
+    for none in (marks.limit(0), marks.where("toxic = 0"), marks.where("toxic = 1")):
+        assert not toxicity.grade(docs, toxicity.train(docs, none)).where("toxic").count()
+    assert toxicity.grade(docs.limit(0), toxicity.train(docs.limit(0), marks)).count() == 0
+
+
+def test_grades_are_the_labels_own(spark):
+    rows = [(1, 0, 0, None), (2, 1, 1, None), (3, 1, 0, None), (4, 1, None, None), (5, 1, 1, 3), (6, 0, 1, 2), (7, 1, 0, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int, quality int, severity int")
+    got = {r["doc_id"]: r["g"] for r in labels.select("doc_id", toxicity.observed_grade(labels).alias("g")).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 1, 5: 3, 6: 0, 7: 1}
+
+
+def test_ordinal_fit_is_a_minimum():
+    """The penalised likelihood, written down plainly, is no better anywhere near the fit."""
+    rng = np.random.default_rng(9)
+    rows = [sorted(rng.choice(4, rng.integers(0, 4), replace=False).tolist()) for _ in range(300)]
+    true = np.array([2.0, -1.0, 0.5, 1.0])
+    grades = np.array([int((true[r].sum() + rng.logistic() > np.array([0.3, 1.8])).sum()) for r in rows])
+
+    def loss(w, cuts):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            below = [0.0, *(1 / (1 + math.exp(w[r].sum() - c)) for c in cuts), 1.0]
+            total -= math.log(below[g + 1] - below[g])
+        return total / len(rows) + 0.5 * 1e-3 * float(w @ w)
+
+    w, cuts = toxicity.fit_cumulative(rows, grades, 4, 3, l2=1e-3, steps=2000)
+    best = loss(w, cuts)
+    assert best <= loss(true, np.array([0.3, 1.8])) + 1e-3 and np.abs(w - true).max() < 0.8
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            x = np.append(w, cuts)
+            x[i] += step
+            assert loss(x[:4], x[4:]) > best - 1e-6
 
 
 def test_ordinal_fit_orders_thresholds_and_grades():

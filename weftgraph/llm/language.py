@@ -5,10 +5,10 @@ narrows its candidate languages; its score for a candidate is the mean log-proba
 trigrams plus that of the word itself. Viterbi then labels the words of a text, paying
 ``penalty`` for each switch, so passages in another language become spans of their own.
 
-Most texts are of one language, and a text for which no stretch of words gains more than the
-penalty over the best single language has that language's constant path as its optimum; this is
-tested with running minima, and only the other texts go through the dynamic programme, all of a
-chunk in step.
+Most texts are of one language. The best single language's constant path is the optimum if no stretch of
+words gains more than the penalty over it, nor the best beginning and the best end together (two stretches that meet
+cost one switch only); this is tested with running minima, and only the other texts go through the dynamic
+programme, all of a chunk in step.
 """
 
 from __future__ import annotations
@@ -100,7 +100,8 @@ def _counts(languages: list[str]):
 
 def train(labelled: DataFrame, sample_rows: int = 20_000, max_languages: int = 200) -> Model:
     """Fit on about ``sample_rows`` rows of (doc_id, text, lang), chosen by a hash of doc_id; all of them if there are
-    no more. Rows with a null text or lang are left out. More than ``max_languages`` labels are an error."""
+    no more, so that no more than their features reach the driver. Rows with a null text or lang are left out; a
+    table without others gives a model without languages. More than ``max_languages`` labels are an error."""
     lean_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()
@@ -135,7 +136,8 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
     text = np.repeat(np.arange(len(texts)), length)
     first = np.append(0, np.cumsum(length))[:-1]
     one = np.ones(len(texts), bool)
-    for x in range(m):  # the largest gain of a stretch of words over the text's best language
+    begins, ends = np.zeros(len(texts)), np.zeros(len(texts))
+    for x in range(m):  # the largest gain of a stretch of words over the text's best language, anywhere and at either end
         gain = scores[:, x].astype(float) - scores[np.arange(n), best[text]]
         far = 2.0 * (np.abs(gain).sum() + 1)
         c = np.cumsum(gain) - text * far  # each text lies below all earlier ones, so minima don't cross
@@ -143,6 +145,9 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
         before[first] = c[first] - gain[first]
         low = np.minimum.accumulate(before)
         one &= np.maximum.reduceat(c - low, first) <= penalty
+        np.maximum(begins, np.maximum.reduceat(c, first) - before[first], out=begins)
+        np.maximum(ends, c[first + length - 1] - np.minimum.reduceat(before, first), out=ends)
+    one &= begins + ends <= penalty
     out[:] = best[text]
     hard = np.flatnonzero(~one)
     if len(hard):
@@ -150,7 +155,7 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
         size = length[hard]
         start = ptr[texts[hard]]
         value = scores[start].astype(float)
-        back = [np.zeros((0, m), np.int8)]
+        back = [np.zeros((0, m), np.int16)]
         for t in range(1, size[0]):
             live = int(np.searchsorted(-size, -t, "left"))  # the texts of more than t words
             v = value[:live]
@@ -230,8 +235,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     """doc_id, lang_pred, score [, spans]: a row for each row of ``docs`` (doc_id, text).
 
     lang_pred is the language of most letters on the best path and score their share; ``und`` and 0 for a
-    text that is null or has no letter. A text whose letters form no scored word, or a tie, goes to the
-    first label. Spans are byte ranges of the text with their language.
+    text that is null or has no letter, and for all if the model has no language. A text whose letters form no scored
+    word, or a tie, goes to the first label. Rows that repeat are labelled each; other columns are ignored. Spans
+    are byte ranges of the text with their language.
     """
     lean_batches(docs.sparkSession)
     raw = F.col("text").cast("string")
