@@ -11,46 +11,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, language, minhash, packing, toxicity
-from weftgraph.llm.storage import materialise, without
+from weftgraph.llm.storage import materialise, release, without
 
 #: A document goes if less than this share of its letters is in its main language.
 MIN_LANGUAGE_SHARE = 0.5
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs whose doc_id has no rejecting verdict."""
-    return without(docs, verdicts.where(~F.coalesce(F.expr(keep), F.lit(True))).select("doc_id").distinct())
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and lang for the operators, and the whole row. The operators get a hash of doc_id and text as
+    doc_id: a verdict is on a row, not on all rows that share its doc_id."""
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    return docs.select(key.alias("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The whole rows whose key (doc_id) isn't rejected."""
+    return without(rows, rejected.select("doc_id").distinct()).select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts that are mostly outside their main language. Learns from ``lang`` of
-    the documents themselves, held-out ones excepted."""
-    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    return _keep(docs, language.identify(docs, model), f"lang_pred <> '{language.UNDETERMINED}' and score >= {MIN_LANGUAGE_SHARE}")
+    """Rejects texts without letters (null and empty ones among them) and texts that are mostly outside their main
+    language. Learns from ``lang`` of the documents themselves, held-out ones excepted; if none has a lang, all
+    texts are of no language and go. Rows that repeat get one verdict; an empty table stays empty."""
+    model = language.train(docs.select("doc_id", "text", "lang").where(~language.held_out(F.col("doc_id"))))
+    rows = _rows(docs)
+    found = language.identify(rows, model)
+    return _without(rows, found.where(f"lang_pred = '{language.UNDETERMINED}' or score < {MIN_LANGUAGE_SHARE}"))
 
 
 def toxicity_grades(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the ordinal model holds for toxic."""
+    """Rejects documents that the ordinal model holds for toxic. A null or empty text isn't; labels of other documents
+    than those left count for nothing; without toxic labels nothing goes. Rows that repeat get one verdict."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, toxicity.grade(docs, model), "not toxic")
+    rows = _rows(docs)
+    return _without(rows, toxicity.grade(rows, model).where("toxic"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group (five-word shingles, similarity 0.8); of rows that
-    repeat a doc_id, one. Documents without words and rows of a null doc_id stay."""
-    found = materialise(minhash.near_duplicates(docs, shingle=5, percent=80), "near")
-    one = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return _keep(one if repeated else docs, found, "kept or doc_id is null")
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8): one of the smallest doc_id.
+    Of rows that repeat doc_id and text one stays. Rows of one doc_id and different texts are documents of their own.
+    Rows of a null doc_id and documents without words (null or empty texts) all stay."""
+    rows = _rows(docs)
+    keyed = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("text"), F.col("doc_id").alias("key"))
+    found = minhash.near_duplicates(keyed, shingle=5, percent=80, carry=["key"]).where("doc_id is not null and n_shingles > 0")
+    found = materialise(found.select("doc_id", "kept", "group_key", "key"), "near")
+    first = found.where("kept").groupBy("group_key").agg(F.min("key").alias("key"))
+    rejected = found.select("key").distinct().join(first, "key", "left_anti").withColumnRenamed("key", "doc_id")
+    repeated = found.where("kept").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("doc_id"))
+    repeated = materialise(repeated, "repeated")
+    left = without(rows, rejected)
+    if repeated.limit(1).count():
+        left = materialise(left, "left")
+        left = without(left, repeated).unionByName(minhash.semi_join(left, repeated, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("row").alias("row")))
+    release(found)
+    return left.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents with a passage of a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rejects documents with a passage of a benchmark item. Null and empty texts and items match nothing; without items
+    nothing goes. Rows that repeat get one verdict."""
+    rows = _rows(docs)
+    return _without(rows, decontaminate.matches(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens. A null text is packed as an empty one; repeated rows are packed
+    each; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
