@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import text_kernel as K
 from weftgraph.llm.storage import lean_batches, materialise
-from weftgraph.llm.tokens import TextEncoder
+from weftgraph.llm.tokens import shared_encoder
 
 Pattern = tuple[int, ...]
 
 
 def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = TextEncoder(tokenizer_path), np.array([end_id], np.uint32)
+        encode, end = shared_encoder(tokenizer_path), np.array([end_id], np.uint32)
         for batch in batches:
-            for i, j, buf, offsets in K.chunks(batch.column(1), 2 << 20):
+            for i, j, buf, offsets in K.chunks(batch.column(1), 1 << 20):
                 flat, ptr = encode(buf, offsets)
                 doc, piece, start, length, crc, kept = [], [], [], [], [], []
                 for row in range(j - i):
@@ -56,7 +56,8 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
 
 def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, limit: int) -> list[Pattern]:
     """Patterns of one to three present lengths that fill ``capacity`` exactly; of the triples, evenly
-    spread over the largest lengths, as many as ``limit`` allows."""
+    spread over the largest lengths, as many as ``limit`` allows. Triples beyond it are only left out of the fit:
+    every piece that no pattern takes is packed by ``residual``."""
     have = np.zeros(capacity + 1, np.int64)
     have[lengths] = counts
     out: list[Pattern] = [(capacity,)] if have[capacity] else []

@@ -17,20 +17,27 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a session of one machine gets a temporary one; on a
+    cluster that is an error, as executors don't share local folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of texts go to Python in batches of at most ``rows`` from now on: at Spark's own 10,000, the buffers of a
-    batch on both sides follow the length of the texts. A smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def lean_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Rows of texts go to Python in batches of at most ``rows`` and about ``size`` bytes from now on: at Spark's own
+    10,000 rows, the buffers of a batch on both sides follow the length of the texts. Spark reads the settings when
+    a plan runs, so they outlast the call that returns the plan; smaller ones of the caller stay."""
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < as_bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -54,7 +61,7 @@ def release(*tables: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
-def without(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 2_000_000) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in ``ids`` (distinct doc_id). Ids (8 bytes each) are broadcast up to a number,
     so that texts aren't shuffled; beyond it both sides are."""
     ids = materialise(ids, "rejected")
