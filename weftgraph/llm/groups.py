@@ -86,7 +86,8 @@ def trees(n: int, hits: Callable[[int, np.ndarray], np.ndarray], label: np.ndarr
 
 
 def _links_of(kernel: Kernel):
-    """Stars of the forests of groups of rows; a row that comes twice (as a member and as a hub) counts once."""
+    """Stars of the forests of groups of rows, as pairs of different labels; a row that comes twice (as a member and as
+    a hub) counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["group", "block", "chunk"]):
@@ -96,9 +97,11 @@ def _links_of(kernel: Kernel):
                 at = lo + np.flatnonzero(np.append(True, ids[lo + 1 : hi] != ids[lo : hi - 1]))
                 if len(at) < 2:
                     continue
-                root, node = trees(len(at), kernel(table.take(pa.array(at))), labels[at])
-                a.append(ids[at[root]])
-                b.append(ids[at[node]])
+                root, node = (labels[at[x]] for x in trees(len(at), kernel(table.take(pa.array(at))), labels[at]))
+                _, one = np.unique(node, return_index=True)
+                one = one[root[one] != node[one]]
+                a.append(root[one])
+                b.append(node[one])
             if a:
                 yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
@@ -136,49 +139,92 @@ def linked_groups(rows: DataFrame, kernel: Kernel, max_rounds: int = 4) -> DataF
 
     found = meet(blank, 0, False)
     labels = components(found)
+    release(found)
     large = rows.where("blocks > 1")
     if not large.limit(1).count():
-        release(found)
         return labels
-    held = [found]
     for salt in range(1, max_rounds + 1):
         own = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         own = materialise(own, "state")
         sizes = own.groupBy("group", "label").agg(F.count("*").alias("k"))
         sizes = sizes.groupBy("group").agg(F.max_by("label", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"))
         sizes = materialise(sizes.where("k < n"), "open")  # of the groups that are cut into blocks
-        if not sizes.limit(1).count():
-            release(own, sizes)
-            break
-        state = join_counted(own, sizes, "group", "n", own.count())
-        state = state.withColumns({"rest": F.col("label") != F.col("main"), "share": F.col("m") / ((F.col("n") - F.col("k")) * F.col("blocks"))})
-        last = salt == max_rounds
-        more = meet(state, salt, last)
-        ended = not more.limit(1).count()
-        next_labels = labels if ended else components(more.union(labels.select("node", "component")))
-        rest = state.where("share < 1")
-        large = None if last else materialise(rest.select(*rows.columns), "large")
-        release(own, sizes, *held)
-        held = [more] if large is None else [more, large]
-        if next_labels is not labels:
-            labels = next_labels
-        if large is None or not large.limit(1).count():
-            break
-    release(*held)
+        state = None
+        if sizes.limit(1).count():
+            state = join_counted(own, sizes, "group", "n", own.count())
+            state = state.withColumns({"rest": F.col("label") != F.col("main"), "share": F.col("m") / ((F.col("n") - F.col("k")) * F.col("blocks"))})
+            more = meet(state, salt, salt == max_rounds)
+            labels = _merged(labels, more)
+            release(more)
+            large = materialise(state.where("share < 1").select(*rows.columns), "large")
+        release(own, sizes)
+        if state is None or salt == max_rounds or not large.limit(1).count():
+            return labels
     return labels
 
 
+#: Up to so many merged labels (16 bytes each) are broadcast; beyond it all labels are computed anew.
+_BROADCAST_LABELS = 500_000
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after links between components, or nodes that had none."""
+    merged = components(links)
+    n = merged.count()
+    if not n:
+        return labels
+    if n > _BROADCAST_LABELS:
+        return components(links.union(labels.select("node", "component")))
+    to = F.broadcast(merged.select(F.col("node").alias("component"), F.col("component").alias("to")))
+    out = labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialise(out.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "merged")
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition, in pieces of bounded size, as stars around the least node of what hangs together."""
+    held, n = [], 0
+
+    def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        names, ends = np.unique(np.concatenate([table[0].to_numpy(), table[1].to_numpy()]), return_inverse=True)
+        a, b = np.split(ends, 2)
+        low = np.arange(len(names))
+        while True:
+            least = np.minimum(low[a], low[b])
+            new = low.copy()
+            np.minimum.at(new, low[a], least)
+            np.minimum.at(new, low[b], least)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        at = np.flatnonzero(low != np.arange(len(names)))
+        return pa.record_batch([pa.array(names[at]), pa.array(names[low[at]])], ["u", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n > 1 << 20:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each end of ``edges`` (two columns of long).
 
-    Alternates the large-star and small-star steps: every round is a grouped minimum and a join, links
-    never reach the driver, and the number of rounds follows the logarithm of the longest path. Nodes with
+    Each partition first contracts its own edges. Then large-star and small-star steps alternate: every round is a
+    grouped minimum and a join, links never reach the driver, and the number of rounds follows the logarithm of the
+    longest path. Nodes with
     very many links don't gather in a task (see join_counted). Null ends and loops are ignored; nodes
     without a link to another node aren't returned.
     """
     a, b = edges.columns[:2]
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialise(e, "links")
+    e = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))  # neither is null
+    e = materialise(e.mapInArrow(_contracted, "u long, v long").distinct(), "links")
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"), F.count_if(F.col("v") < F.col("u")).alias("smaller"))

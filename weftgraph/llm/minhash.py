@@ -159,7 +159,7 @@ def near_duplicates(
     coordinates: int = 32,
     min_matches: int = 14,
     list_limit: int = 8192,
-    block_limit: int = 512,
+    block_limit: int = 2048,
     block_bytes: int = 8 << 20,
     carry: Sequence[str] = (),
 ) -> DataFrame:
