@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import text_kernel as K
 from weftgraph.llm.storage import lean_batches, materialise
 
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 #: Up to so many target ids (8 bytes each) are broadcast; beyond it documents are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Keys of pairs and of a text's begin are odd, those of words even.
@@ -79,7 +79,7 @@ def _block(texts: pa.Array | pa.ChunkedArray) -> Block:
 
 def _pack(x: np.ndarray) -> bytes:
     """Counts as byte planes, without the high ones that are zero; the others compress well in a shuffle."""
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    width = max(1, (int(x.view(np.uint64).max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(x, "<i8").reshape(-1).view(np.uint8).reshape(-1, 8)[:, :width]
     return bytes([width]) + planes.T.tobytes()
 
@@ -91,6 +91,19 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<i8").reshape(4, -1)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys of a bucket: the first, and the gaps between them, which have few high bytes."""
+    return keys[:1].tobytes() + _pack(np.diff(keys).view(np.int64))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=9).reshape(data[8], -1)
+    out = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    out[0] = np.frombuffer(data, np.uint8, 8)
+    out[1:, : data[8]] = planes.T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """All rows of a key, whose tasks are dealt by key."""
     found = [b for b in batches if b.num_rows]
@@ -119,7 +132,7 @@ def _ask(bits: int):
             counts = counts[:, b.order]
             bucket = (b.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(size, np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
-            rows = [(int(bucket[i]), block, b.keys[i:j].tobytes(), _pack(counts[:, i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [(int(bucket[i]), block, _pack_keys(b.keys[i:j]), _pack(counts[:, i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.record_batch(cols, ["bucket", "block", "keys", "counts"])
@@ -132,7 +145,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["block", "bucket", "data", "words", "n", "target"]
     types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     for bucket, table in _whole(batches, "bucket"):
-        parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        parts = [_unpack_keys(x) for x in table["keys"].to_pylist()]
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.zeros((4, len(keys)), np.int64)
         bounds = np.cumsum([0, *map(len, parts)])
