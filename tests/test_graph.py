@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.api import CorpusConfig, CorpusGenerator, ProvDocumentBuilder, evaluate
 from weftgraph.model import RELATIONS, expected_counts
-from weftgraph.operators import document_rules as R
 from weftgraph.operators import documents, generate, patterns, stats, validate
 
 ENV = {f"ml:{k}": "x" for k in "abcde"}
@@ -78,33 +77,71 @@ MUTANTS = [
     (lambda d: d["used"]["_:u1"].pop("prov:entity"), "used '_:u1' missing prov:entity"),
     (lambda d: d["used"]["_:u1"].update({"prov:entity": "e:no"}), "used '_:u1' prov:entity='e:no' not a declared entity"),
     (lambda d: d["used"]["_:u1"].update({"prov:entity": None}), "used '_:u1' prov:entity=None not a declared entity"),
-    (lambda d: d["used"]["_:u1"].update({"prov:entity": ["x"]}), "used '_:u1' prov:entity=['x'] not a declared entity"),
+    (lambda d: d["used"]["_:u1"].update({"prov:entity": ["x"]}), "used '_:u1' prov:entity=[\"x\"] not a declared entity"),
 ]
 
 
-@pytest.mark.parametrize(("mutate", "message"), MUTANTS)
-def test_each_rule_names_its_defect(mutate, message):
-    doc = small()
-    assert R.schema(doc, cardinality=False) == []
-    mutate(doc)
-    assert message in R.schema(doc, cardinality=False)
+def outcomes(spark, docs, checks=validate.CHECKS, cardinality=False):
+    """Errors by check of documents, by their position."""
+    df = spark.createDataFrame([(f"{i:04}", d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "doc_id string, json string")
+    rows = validate.validate(df, checks, cardinality).orderBy("doc_id").collect()
+    return [{c["name"]: c["errors"] for c in r["checks"]} for r in rows]
+
+
+def test_each_rule_names_its_defect(spark):
+    docs = [small() for _ in range(len(MUTANTS) + 1)]
+    for doc, (mutate, _) in zip(docs, MUTANTS, strict=False):
+        mutate(doc)
+    *found, clean = outcomes(spark, docs, ("schema",))
+    assert clean == {"schema": []}
+    for errors, (_, message) in zip(found, MUTANTS, strict=True):
+        assert message in errors["schema"]
 
 
-def test_missing_relation_block_null_type_and_cardinality():
+def test_missing_relation_block_null_type_and_cardinality(spark):
     doc = small()
     del doc["wasInformedBy"]
     doc["entity"]["e:x"]["prov:type"] = None
-    assert R.schema(doc, cardinality=False) == []
-    assert "nodes=3, expected 44" in R.schema(doc)
-    assert R.schema([1]) == ["document is not a JSON object"]
+    assert outcomes(spark, [doc], ("schema",)) == [{"schema": []}]
+    full, *others = outcomes(spark, [doc, [1], "no json", '{"a": 1, "a": 2}', "3", "null"], ("schema",), True)
+    assert "nodes=3, expected 44" in full["schema"] and len(full["schema"]) == 4
+    assert all(x["schema"] == ["document is not a JSON object"] for x in others)
 
 
-def test_shape_of_activities():
+def test_shape_of_activities(spark):
     doc = small()
-    assert R.shacl(doc) == [] and R.round_trip(doc) == []
     doc["activity"]["a:y"] = {"prov:type": "T"}
     doc["wasAssociatedWith"]["_:a2"] = {"prov:activity": "a:x", "prov:agent": "e:x"}
-    assert len(R.shacl(doc)) == 2
+    many = small()
+    many["activity"].update({f"a:{i:02}": {"prov:type": "T"} for i in range(14)})
+    clean, wrong, cut = outcomes(spark, [small(), doc, many], ("shacl", "round_trip"))
+    assert clean == {"shacl": [], "round_trip": []}
+    assert wrong["shacl"] == ["Activity has no prov:wasAssociatedWith agent: a:y", "Value of prov:wasAssociatedWith is not a prov:Agent: a:x -> e:x"]
+    assert len(cut["shacl"]) == 10 and cut["round_trip"] == []
+
+
+def test_number_literals_keep_their_form(spark):
+    texts = ["1.0", "0.0", "-2.0", "1e-05", "1", "0", "123456789012345678", "12345678901234567890123", "2.50", "0.123456", "1E5", "true", "null", '"1.0"', "[1.5]"]
+    doc = small()
+    doc["entity"]["e:x"] |= {f"x{i}": "@@" + t + "@@" for i, t in enumerate(texts)}
+    text = json.dumps(doc).replace("\\", "")
+    for t in texts:
+        text = text.replace('"@@' + t + '@@"', t)
+    nodes, edges = documents.to_tables(spark.createDataFrame([("d", text)], "doc_id string, json string"))
+    got = nodes.where("node_id = 'e:x'").first()["attrs"]
+    want = ["1.0", "0.0", "-2.0", "1.0E-5", "1", "0", "123456789012345678", "12345678901234567890123", "2.5", "0.123456", "100000.0", "true", "null", '"1.0"', "[1.5]"]
+    assert [got[f"x{i}"] for i in range(len(texts))] == want
+    assert [json.loads(a) == json.loads(b) for a, b in zip(texts, want, strict=True)] == [True] * len(texts)
+    assert validate.round_trip_diff(nodes, edges).collect()[0][1:] == (0, 0)
+    assert outcomes(spark, [text]) == [{"schema": [], "shacl": [], "round_trip": []}]
+
+
+def test_round_trip_counts_lost_statements(spark):
+    nodes, edges = documents.to_tables(spark.createDataFrame([("d", json.dumps(small())), ("f", json.dumps(small()))], "doc_id string, json string"))
+    twice = nodes.unionAll(nodes.where("doc_id = 'd' and kind = 'agent'"))  # a document can't say it twice
+    got = {r["doc_id"]: (r["only_first"], r["only_second"]) for r in validate.round_trip_diff(twice, edges).collect()}
+    assert got == {"d": (1, 0), "f": (0, 0)}
+    assert validate.round_trip_errors(twice, edges).first()["message"] == "RDF graphs not isomorphic: +1/-0 triples"
 
 
 def test_policies_and_report(spark):

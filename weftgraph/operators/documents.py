@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,85 +17,116 @@ def _object(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
 
 
-def to_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, json: compact JSON, all blocks present. Of nodes that repeat an id within a kind one stays."""
-    attrs = _object(F.map_entries("attrs"))
-    parts = nodes.select("doc_id", F.col("kind").alias("block"), F.col("node_id").alias("key"), attrs.alias("value"))
-    ends = F.lit(None).cast("string")
+def literal(value: Column) -> Column:
+    """The JSON text of a VARIANT in one form: numbers written with a point or an exponent keep one (1.0 isn't 1, 1e-05 is
+    1.0E-5, 2.50 is 2.5), whole ones have none. Numbers inside arrays and objects lose a zero fraction."""
+    kind = F.schema_of_variant(value)
+    whole = F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1)  # plain integers of up to 18 digits are BIGINT
+    text = F.when(kind == "STRING", json_string(value.cast("string"))).otherwise(F.to_json(value))
+    return F.when((whole != "") & (F.length(whole) < 3) & (F.lpad(whole, 2, "0") <= "18"), F.concat(text, F.lit(".0"))).otherwise(text)
+
+
+def canonical(attrs: Column) -> Column:
+    """A map of attribute names to JSON literals, its literals in the form of ``literal`` and its keys in order."""
+    entries = F.transform(F.map_entries(attrs), lambda e: F.struct(e["key"].alias("key"), literal(F.try_parse_json(e["value"])).alias("value")))
+    return F.map_from_entries(F.array_sort(entries))
+
+
+def statements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, block, key, value (JSON), statement: a row for each node and edge. Ids of relations are blank nodes and not
+    part of the statement."""
+    n = nodes.select(
+        "doc_id", F.col("kind").alias("block"), F.col("node_id").alias("key"), _object(F.map_entries("attrs")).alias("value"),
+        F.concat_ws("\x1f", "kind", "node_id", F.to_json(canonical(F.col("attrs")))).alias("statement"),
+    )
+    body = F.lit(None).cast("string")
     role = F.when(F.coalesce(F.length("role"), F.lit(0)) > 0, F.concat(F.lit(',"prov:role":'), json_string(F.col("role")))).otherwise("")
     for rel, (a, b, *_) in RELATIONS.items():
-        body = F.concat(F.lit(f'{{"{a}":'), json_string(F.col("src")), F.lit(f',"{b}":'), json_string(F.col("dst")), role, F.lit("}"))
-        ends = F.when(F.col("rel") == rel, body).otherwise(ends)
-    parts = parts.unionByName(edges.select("doc_id", F.col("rel").alias("block"), F.col("edge_id").alias("key"), ends.alias("value")))
-    one = F.struct("key", "value")
-    grouped = parts.groupBy("doc_id", "block", "key").agg(F.max("value").alias("value")).groupBy("doc_id")
-    blocks = [*KINDS, *RELATIONS]
-    grouped = grouped.agg(*[F.array_sort(F.collect_list(F.when(F.col("block") == b, one))).alias(b) for b in blocks])  # one document's parts
-    head = f'{{"prefix":{json.dumps(PREFIXES, separators=(",", ":"))}'
-    text = F.concat(F.lit(head), *[F.concat(F.lit(f',"{b}":'), _object(F.col(b))) for b in blocks], F.lit("}"))
-    return grouped.select("doc_id", text.alias("json"))
+        text = F.concat(F.lit(f'{{"{a}":'), json_string(F.col("src")), F.lit(f',"{b}":'), json_string(F.col("dst")), role, F.lit("}"))
+        body = F.when(F.col("rel") == rel, text).otherwise(body)
+    said = F.concat_ws("\x1f", "rel", "src", "dst", F.coalesce("role", F.lit("")))
+    return n.unionByName(edges.select("doc_id", F.col("rel").alias("block"), F.col("edge_id").alias("key"), body.alias("value"), said.alias("statement")))
+
+
+def grouped(rows: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, json [, more]: compact JSON, all blocks present; one shuffle. Of rows that repeat block and key one stays."""
+    parts = F.array_sort(F.collect_list(F.struct("block", "key", "value"))).alias("parts")  # one document's
+    found = rows.groupBy("doc_id").agg(parts, *more)
+    after = lambda i: F.get(F.col("all"), i + 1)
+    found = found.withColumnRenamed("parts", "all")
+    single = F.filter("all", lambda p, i: ~(p["block"].eqNullSafe(after(i)["block"]) & p["key"].eqNullSafe(after(i)["key"])))
+    found = found.withColumn("parts", single).drop("all")
+    text = [F.lit(f'{{"prefix":{json.dumps(PREFIXES, separators=(",", ":"))}')]
+    of = lambda block: F.filter("parts", lambda p: p["block"] == block)
+    for b in (*KINDS, *RELATIONS):
+        text += [F.lit(f',"{b}":'), _object(of(b))]
+    return found.withColumn("json", F.concat(*text, F.lit("}"))).drop("parts")
+
+
+def to_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, json: one document for each doc_id."""
+    return grouped(statements(nodes, edges).drop("statement"))
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """doc_id, doc: (doc_id, json) as VARIANT; null for what isn't JSON."""
+    """doc_id, doc: (doc_id, json) as VARIANT; null for what isn't JSON, or repeats a key in an object."""
     return documents.select("doc_id", F.try_parse_json("json").alias("doc"))
 
 
-def _is_object(c: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(c).like("OBJECT%"), F.lit(False))
+def members(value: Column) -> Column:
+    """The members of an object of a VARIANT as a map; null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _exploded(parsed: DataFrame, name: str) -> DataFrame:
-    """doc_id, key, value of the members of a block that is an object."""
-    block = F.try_variant_get("doc", f"$.{name}", "variant")
-    rows = parsed.select("doc_id", block.alias("block")).where(_is_object(F.col("block")))
-    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("block").outer())).select("doc_id", "key", "value")
+def block_of(doc: Column, name: Column) -> Column:
+    """The members of a block of a document; null if there is none or it is no object."""
+    return members(F.try_element_at(members(doc), name))
+
+
+def blocks(names: Iterable[str]) -> Column:
+    """Literals (block, a, b): names of blocks and, of relations, the keys of their ends."""
+    ends = lambda n: RELATIONS[n][:2] if n in RELATIONS else (None, None)
+    return F.array(*[F.struct(*[F.lit(x).cast("string").alias(k) for k, x in zip(("block", "a", "b"), (n, *ends(n)), strict=True)]) for n in names])
+
+
+def _entries(parsed: DataFrame, names: Iterable[str]) -> DataFrame:
+    """doc_id, block, a, b, key, value of the members of the blocks that are objects, in one pass over a document."""
+    none = F.array().cast("array<struct<block: string, a: string, b: string, key: string, value: variant>>")
+
+    def inside(s: Column) -> Column:
+        found = F.map_entries(block_of(F.col("doc"), s["block"]))
+        return F.coalesce(F.transform(found, lambda e: F.struct(s["block"].alias("block"), s["a"].alias("a"), s["b"].alias("b"), e["key"].alias("key"), e["value"].alias("value"))), none)
+
+    return parsed.select("doc_id", F.inline(F.flatten(F.transform(blocks(names), inside))))
 
 
 def elements(parsed: DataFrame) -> DataFrame:
     """doc_id, kind, node_id, is_object, has_type, ptype, attrs (JSON literals): every declared element."""
-    out = None
-    for kind in KINDS:
-        rows = _exploded(parsed, kind).where("key is not null")
-        kind_of = F.try_variant_get("value", "$['prov:type']", "variant")
-        literal = F.from_json(F.to_json("value"), "map<string,string>")
-        rows = rows.select(
-            "doc_id", F.lit(kind).alias("kind"), F.col("key").alias("node_id"), _is_object(F.col("value")).alias("is_object"),
-            kind_of.isNotNull().alias("has_type"), F.try_variant_get("value", "$['prov:type']", "string").alias("ptype"),
-            F.when(_is_object(F.col("value")), literal).alias("plain"), F.col("value"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = _entries(parsed, KINDS).withColumn("m", members(F.col("value")))
+    return rows.select(
+        "doc_id", F.col("block").alias("kind"), F.col("key").alias("node_id"), F.col("m").isNotNull().alias("is_object"),
+        F.coalesce(F.map_contains_key("m", "prov:type"), F.lit(False)).alias("has_type"),
+        F.try_variant_get("value", "$['prov:type']", "string").alias("ptype"),
+        F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("m", lambda k, v: literal(v))))).alias("attrs"),
+    )
 
 
 def relations(parsed: DataFrame) -> DataFrame:
     """doc_id, rel, edge_id, is_object, has_src, src, has_dst, dst, role. An end that is no string is its JSON text."""
-    out = None
-    for rel, (a, b, *_) in RELATIONS.items():
-        rows = _exploded(parsed, rel).where("key is not null")
-        end = lambda k: F.try_variant_get("value", f"$['{k}']", "variant")
-        text = lambda k: F.when(F.is_variant_null(end(k)), "None").otherwise(
-            F.coalesce(F.when(F.schema_of_variant(end(k)) == "STRING", F.try_variant_get("value", f"$['{k}']", "string")), F.to_json(end(k)))
-        )
-        rows = rows.select(
-            "doc_id", F.lit(rel).alias("rel"), F.col("key").alias("edge_id"), _is_object(F.col("value")).alias("is_object"),
-            end(a).isNotNull().alias("has_src"), text(a).alias("src"), (F.schema_of_variant(end(a)) == "STRING").alias("src_text"),
-            end(b).isNotNull().alias("has_dst"), text(b).alias("dst"), (F.schema_of_variant(end(b)) == "STRING").alias("dst_text"),
-            F.try_variant_get("value", "$['prov:role']", "string").alias("role"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = _entries(parsed, RELATIONS).withColumn("m", members(F.col("value")))
+    out = []
+    for side, key in (("src", "a"), ("dst", "b")):
+        end = F.try_element_at("m", F.col(key))
+        is_text = F.coalesce(F.schema_of_variant(end) == "STRING", F.lit(False))
+        plain = F.when(F.is_variant_null(end), "None").when(is_text, F.try_variant_get(end, "$", "string")).otherwise(F.to_json(end))
+        out += [F.coalesce(F.map_contains_key("m", F.col(key)), F.lit(False)).alias(f"has_{side}"), plain.alias(side), is_text.alias(f"{side}_text")]
+    role = F.try_variant_get("value", "$['prov:role']", "string").alias("role")
+    return rows.select("doc_id", F.col("block").alias("rel"), F.col("key").alias("edge_id"), F.col("m").isNotNull().alias("is_object"), *out, role)
 
 
 def to_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of documents (doc_id, json), or of parsed ones (doc_id, doc). Attribute values are JSON literals."""
+    """(nodes, edges) of documents (doc_id, json), or of parsed ones (doc_id, doc). Attribute values are JSON literals in the
+    form of ``literal``. Each table is one narrow pass over the documents."""
     parsed = documents if "doc" in documents.columns else parse(documents)
-    literal = F.when(F.col("t") == "STRING", json_string(F.col("v"))).otherwise(F.col("v"))
-    e = elements(parsed).where("is_object")
-    rows = e.lateralJoin(e.sparkSession.tvf.variant_explode(F.col("value").outer())).toDF(*e.columns, "pos", "akey", "avalue")
-    rows = rows.withColumn("t", F.schema_of_variant("avalue")).withColumn("v", F.when(F.col("t") == "STRING", F.col("avalue").cast("string")).otherwise(F.to_json("avalue")))
-    nodes = rows.groupBy("doc_id", "kind", "node_id").agg(
-        F.first("ptype").alias("ptype"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("akey"), literal)))).alias("attrs")
-    )
-    edges = relations(parsed).where("is_object").select("doc_id", "rel", "edge_id", "src", "dst", "role")
-    return nodes, edges
+    nodes = elements(parsed).where("is_object").select("doc_id", "kind", "node_id", "ptype", "attrs")
+    return nodes, relations(parsed).where("is_object").select("doc_id", "rel", "edge_id", "src", "dst", "role")

@@ -1,8 +1,8 @@
 """Conformance checks of provenance documents, the gate and its report.
 
-Over node and edge tables, rules are joins and become rows of errors (doc_id, stage, item, message);
-``stage`` and ``item`` put messages in the order of the rules, and within a rule in the order of ids. JSON
-documents are validated row by row (see document_rules).
+Rules are joins and filters over node and edge tables, which JSON documents are exploded into, and become rows
+of errors (doc_id, stage, item, message); ``stage`` and ``item`` put messages in the order of the rules, and
+within a rule in the order of ids. References are anti joins on (doc_id, kind, id).
 """
 
 from __future__ import annotations
@@ -12,15 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.model import KINDS, RELATIONS, expected_counts
-from weftgraph.operators import document_rules as R
+from weftgraph.model import KINDS, RELATIONS, REQUIRED_PREFIXES, expected_counts
 from weftgraph.operators import documents as D
 from weftgraph.operators.stats import document_stats
 
 CHECKS = ("schema", "shacl", "round_trip")
 POLICIES = ("strict", "warn", "abort")
 MAX_FAILURES = 200
-ERRORS = "doc_id string, stage int, item string, message string"
+SHACL_MESSAGES = 10
 
 
 def check_names(names: Sequence[str]) -> tuple[str, ...]:
@@ -77,7 +76,8 @@ def relation_errors(relations: DataFrame, declared: DataFrame) -> DataFrame:
     out = out.unionByName(_errors(ends.where("not has"), 4, order, _say("%s '%s' missing %s", "rel", "edge_id", "key")))
     ids = declared.select("doc_id", "kind", F.col("node_id").alias("ref"), F.lit(True).alias("found")).distinct()
     lost = ends.where("has").join(ids, ["doc_id", "kind", "ref"], "left").where("found is null or not is_text")
-    shown = F.when(F.col("is_text"), repr_text(F.col("ref"))).otherwise(F.col("ref"))
+    other = F.when(F.col("ref") == "true", "True").when(F.col("ref") == "false", "False").otherwise(F.col("ref"))
+    shown = F.when(F.col("is_text"), repr_text(F.col("ref"))).otherwise(other)
     return out.unionByName(_errors(lost, 4, order, _say("%s '%s' %s=%s not a declared %s", "rel", "edge_id", "key", shown, "kind")))
 
 
@@ -112,30 +112,54 @@ def shacl_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(_errors(wrong, 1, F.concat_ws("|", "node_id", "dst"), _say("Value of prov:wasAssociatedWith is not a prov:Agent: %s -> %s", "node_id", "dst")))
 
 
-def content(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row for each statement of a graph, with the ids of relations left out (they are blank nodes)."""
-    a = nodes.select("doc_id", F.concat_ws("\x1f", F.lit("n"), "kind", "node_id", F.to_json("attrs")).alias("x"))
-    b = edges.select("doc_id", F.concat_ws("\x1f", F.lit("e"), "rel", "src", "dst", F.coalesce("role", F.lit(""))).alias("x"))
-    return a.unionByName(b).groupBy("doc_id", "x").agg(F.count("*").alias("n"))
+def block_errors(parsed: DataFrame) -> DataFrame:
+    """What isn't an object at all, lacks a prefix, or has a block of the wrong kind."""
+    doc, prefix = F.col("doc"), D.block_of(F.col("doc"), F.lit("prefix"))
+    error = lambda stage, item, text: F.struct(F.lit(stage).alias("stage"), item.cast("string").alias("item"), text.alias("message"))
+    every = lambda names, wrong, make: F.filter(F.transform(F.array(*map(F.lit, names)), lambda n, i: F.when(wrong(n), make(n, i))), lambda e: e.isNotNull())
+    lost = every(REQUIRED_PREFIXES, lambda n: ~F.map_contains_key(prefix, n), lambda n, i: error(1, i, F.concat(F.lit("missing required prefix '"), n, F.lit("'"))))
+    prefixes = F.when(prefix.isNull(), F.array(error(1, F.lit(0), F.lit("missing or malformed 'prefix' block")))).otherwise(lost)
+    kinds = every(KINDS, lambda n: D.block_of(doc, n).isNull(), lambda n, i: error(2, i, F.concat(F.lit("missing or malformed '"), n, F.lit("' block"))))
+    there = lambda n: F.map_contains_key(D.members(doc), n) & D.block_of(doc, n).isNull()
+    relations = every(RELATIONS, there, lambda n, i: error(4, i + 1, F.concat(F.lit("relation block '"), n, F.lit("' not an object"))))
+    none = F.array(error(0, F.lit(""), F.lit("document is not a JSON object")))
+    return parsed.select("doc_id", F.inline(F.when(D.members(doc).isNull(), none).otherwise(F.concat(prefixes, kinds, relations))))
+
+
+def document_errors(parsed: DataFrame, cardinality: bool = True, folds: int = 5) -> DataFrame:
+    """Errors of structure and reference of documents (doc_id, doc). A malformed block is reported and the other rules
+    still run; cardinality is for documents without any error."""
+    elements, relations = D.elements(parsed), D.relations(parsed)
+    out = block_errors(parsed).unionByName(element_errors(elements)).unionByName(relation_errors(relations, elements))
+    if not cardinality:
+        return out
+    size = lambda n: F.coalesce(F.size(F.map_keys(D.block_of(F.col("doc"), n))), F.lit(0)).cast("long")
+    total = lambda names: F.aggregate(F.array(*map(F.lit, names)), F.lit(0).cast("long"), lambda n, name: n + size(name))
+    counts = {"nodes": total(KINDS), "edges": total(RELATIONS)} | {n: size(F.lit(k)) for n, k in (("entities", "entity"), ("activities", "activity"), ("agents", "agent"))}
+    stats = parsed.select("doc_id", *[c.alias(k) for k, c in counts.items()])
+    return out.unionByName(cardinality_errors(stats, out, folds))
 
 
 def round_trip_diff(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, only_first, only_second: statements that differ after tables -> JSON -> tables, as multisets."""
-    nodes, edges = nodes.persist(), edges.persist()  # both sides of the comparison read them
-    first = content(_sorted_attrs(nodes), edges)
-    second = content(*_again(nodes, edges))
-    both = first.withColumnRenamed("n", "a").join(second.withColumnRenamed("n", "b"), ["doc_id", "x"], "full").fillna(0, ["a", "b"])
-    return both.groupBy("doc_id").agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("only_first"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("only_second"))
-
-
-def _sorted_attrs(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("attrs", F.map_from_entries(F.array_sort(F.map_entries("attrs"))))
-
-
-def _again(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    docs = D.to_documents(nodes, edges).select("doc_id", F.try_parse_json("json").alias("doc")).persist()  # each block reads them
-    n, e = D.to_tables(docs)
-    return _sorted_attrs(n), e
+    """doc_id, only_first, only_second: statements that differ after tables -> JSON -> tables, as multisets. Each document
+    is compared as a row: the statements are shuffled once, with the document's own parts."""
+    first = F.array_sort(F.collect_list("statement")).alias("first")
+    docs = D.grouped(D.statements(nodes, edges), first)
+    parsed = docs.select("doc_id", "first", F.try_parse_json("json").alias("doc"))
+    attrs = lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(m, lambda _, x: D.literal(x))))))
+    text = lambda m, k: F.try_element_at(m, k).cast("string")
+
+    def said(s: Column) -> Column:
+        node = lambda e: F.concat_ws("\x1f", s["block"], e["key"], attrs(D.members(e["value"])))
+        ends = lambda m: F.concat_ws("\x1f", s["block"], text(m, s["a"]), text(m, s["b"]), F.coalesce(text(m, F.lit("prov:role")), F.lit("")))
+        inside = F.map_entries(D.block_of(F.col("doc"), s["block"]))
+        return F.coalesce(F.transform(inside, lambda e: F.when(s["a"].isNull(), node(e)).otherwise(ends(D.members(e["value"])))), F.array().cast("array<string>"))
+
+    again = F.flatten(F.transform(D.blocks([*KINDS, *RELATIONS]), said))
+    both = parsed.select("doc_id", "first", F.array_sort(again).alias("second"))
+    numbered = lambda c: F.transform(c, lambda x, i: F.concat_ws("\x1f", x, (i - F.array_position(F.col(c), x)).cast("string")))
+    lost = lambda a, b: F.when(F.col("first") == F.col("second"), 0).otherwise(F.size(F.array_except(numbered(a), numbered(b)))).cast("long")
+    return both.select("doc_id", lost("first", "second").alias("only_first"), lost("second", "first").alias("only_second"))
 
 
 def round_trip_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -144,12 +168,37 @@ def round_trip_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def validate(documents: DataFrame, checks: Sequence[str] = CHECKS, cardinality: bool = True, folds: int = 5) -> DataFrame:
-    """doc_id, valid, checks (array of name, status, errors), summary: an outcome for each document (doc_id, json).
+    """doc_id, valid, checks (array of name, status, errors), summary: an outcome for each document (doc_id, json); doc_id is
+    unique and not null.
 
     All wanted checks run whatever the others say. A document that can't be read as a graph has no statements
     that the later checks could reject. summary has the first three messages of each failed check, or 'ok'.
     """
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), "json").mapInPandas(R.validator(check_names(checks), cardinality, folds), R.RESULT)
+    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "json")
+    parsed = D.parse(docs)
+    names = check_names(checks)
+    run = {
+        "schema": lambda: document_errors(parsed, cardinality, folds),
+        "shacl": lambda: shacl_errors(*D.to_tables(parsed)),
+        "round_trip": lambda: round_trip_errors(*D.to_tables(parsed)),
+    }
+    found = docs.select("doc_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("stage"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("string").alias("message"))
+    for name in names:
+        found = found.unionByName(run[name]().withColumn("name", F.lit(name)).select(found.columns))
+    said = F.when(F.col("name").isNotNull(), F.struct("name", "stage", "item", "message"))
+    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(said)).alias("said"))
+    results, texts = [], []
+    of = lambda name: F.transform(F.filter("said", lambda e: e["name"] == name), lambda e: e["message"])
+    for name in names:
+        own = of(name)
+        own = F.slice(own, 1, SHACL_MESSAGES) if name == "shacl" else own
+        results.append(F.struct(F.lit(name).alias("name"), F.when(F.size(own) > 0, "fail").otherwise("pass").alias("status"), own.alias("errors")))
+        texts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(own, 1, 3), "; "))))
+    empty = F.array().cast("array<struct<name: string, status: string, errors: array<string>>>")
+    return found.select(
+        "doc_id", (F.size("said") == 0).alias("valid"), (F.array(*results) if results else empty).alias("checks"),
+        F.when(F.size("said") == 0, "ok").otherwise(F.concat_ws(" | ", *texts)).alias("summary"),
+    )
 
 
 def gate(documents: DataFrame, outcomes: DataFrame, policy: str = "strict") -> DataFrame:
