@@ -19,6 +19,8 @@ from weftgraph.operators.validate import CHECKS
 from weftgraph.plans import catalog
 from weftgraph.sources import corpus, sinks
 
+#: Of so many files at most the names are listed in the driver; samples of larger corpora are drawn by a hash of the name.
+MAX_LISTED = 1_000_000
 #: Columns of a real fold result.
 REAL = ("run_id", "fold", "score", "train_size", "test_size", "train_start", "train_end", "pred_start", "pred_end", "eval_start", "eval_end")
 REAL_SCHEMA = "run_id string, fold int, score double, train_size long, test_size long, " + ", ".join(f"{c} string" for c in REAL[5:])
@@ -168,7 +170,7 @@ class CorpusGenerator:
         c, tasks = self.config, self.get_tasks()[: max_tasks or None]
         runs = generate.with_datasets(self._runs(tasks), generate.synthetic_datasets(self.spark, tasks, datasets))
         runs = runs.withColumn("now", F.lit(S.now_text()).cast("timestamp"))
-        nodes, edges = generate.generate(runs, c.n_folds, exact, real, S.environment())
+        nodes, edges = generate.generate(runs, c.n_folds, exact, real, S.environment(), whole=True)
         return runs, nodes, edges
 
     def generate(self, max_tasks: int | None = None, exact: bool = True) -> dict:
@@ -216,24 +218,28 @@ class CorpusGenerator:
 def evaluate(spark: SparkSession, corpus_dir: str, label: str | None = None, sample_n: int | None = None, outdir: str = "eval_results", seed: int = 42, verbose: bool = True) -> dict:
     """Compression of a corpus, and the pattern queries over (a sample of) it; writes JSON, LaTeX and plots."""
     label = label or Path(corpus_dir).name
-    paths = [r["path"] for r in corpus.list_paths(spark, corpus_dir).collect()]  # names only
-    if not paths:
+    listed = corpus.list_paths(spark, corpus_dir)
+    n_paths = listed.count()
+    if not n_paths:
         raise SystemExit(f"No prov_*.json files found under {corpus_dir}")
     codecs = {r["codec"]: r for r in compress.single_stream(corpus.read_bytes(spark, corpus_dir)).collect()}
     first = next(iter(codecs.values()))
     keep = ("compressed_bytes", "ratio", "space_saving_pct", "seconds")
     compression = {"raw_bytes": first["raw_bytes"], "n_files": first["n_files"], "codecs": {k: {x: r[x] for x in keep} for k, r in codecs.items()}}
-    picked = sample.sample_paths(paths, sample_n, seed)
+    n_picked = n_paths if sample_n is None else min(sample_n, n_paths)
     docs = corpus.read_documents(spark, corpus_dir).select("path", F.col("path").alias("doc_id"), "json")
-    if len(picked) < len(paths):
+    if n_picked < n_paths <= MAX_LISTED:  # as Python draws them, from a list of bounded length
+        picked = sample.sample_paths([r["path"] for r in listed.collect()], sample_n, seed)
         docs = docs.join(spark.createDataFrame([(p,) for p in picked], "path string"), "path", "left_semi")
+    elif n_picked < n_paths:
+        docs = docs.join(sample.exact_n(listed, n_picked, "path"), "path", "left_semi")
     begin = time.perf_counter()
     nodes, edges = (t.persist() for t in documents.to_tables(docs.select("doc_id", "json")))
     n = patterns.triples(nodes, edges).count()
     spent = time.perf_counter() - begin
     loading = {
-        "skipped": False, "files_loaded": len(picked), "files_total": len(paths), "triples": n, "load_seconds": round(spent, 3),
-        "triples_per_file": round(n / len(picked), 1), "load_seconds_per_file": round(spent / len(picked), 4),
+        "skipped": False, "files_loaded": n_picked, "files_total": n_paths, "triples": n, "load_seconds": round(spent, 3),
+        "triples_per_file": round(n / n_picked, 1), "load_seconds_per_file": round(spent / n_picked, 4),
     }
     queries = []
     for name, (text, query) in patterns.QUERIES.items():
@@ -242,7 +248,7 @@ def evaluate(spark: SparkSession, corpus_dir: str, label: str | None = None, sam
         queries.append({"id": name, "description": text, "result_rows": rows, "result_value": value, "seconds": round(time.perf_counter() - begin, 4)})
     nodes.unpersist()
     edges.unpersist()
-    results = {"label": label, "corpus_dir": str(corpus_dir), "n_runs": len(paths), "compression": compression, "queries": {"loading": loading, "queries": queries}}
+    results = {"label": label, "corpus_dir": str(corpus_dir), "n_runs": n_paths, "compression": compression, "queries": {"loading": loading, "queries": queries}}
     written = [sinks.write_json(results, Path(outdir) / f"eval_{label}.json"), *sinks.write_latex(results, label, outdir), *sinks.write_plots(results, label, outdir)]
     if verbose:
         for k, c in compression["codecs"].items():

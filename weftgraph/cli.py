@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None, ask=input, client=None) -> int:
     if args.real and args.mode != "light":
         n, hours = real_run_estimate(args.mode)
         print(f"{n:,} real runs, about {hours:.0f} hours ({hours / 24:.1f} days); --max-tasks limits them")
-        if not args.skip_confirm and ask("Continue anyway? [y/N]: ").strip().lower() != "y":
+        if not args.skip_confirm and ask("Start them? (y/n) ").strip().lower() != "y":
             print("Aborted.")
             return 1
     config = CorpusConfig(

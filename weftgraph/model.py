@@ -16,7 +16,7 @@ PREFIXES = {
 REQUIRED_PREFIXES = ("prov", "e", "a", "ag")
 KINDS = ("entity", "activity", "agent")
 
-#: relation -> (subject key, object key, kind of the subject, kind of the object, letter of its ids)
+#: Fixed values of the document format: relation -> (subject key, object key, kind of the subject, kind of the object, letter of its ids)
 RELATIONS = {
     "used": ("prov:activity", "prov:entity", "activity", "entity", "u"),
     "wasGeneratedBy": ("prov:entity", "prov:activity", "entity", "activity", "g"),

@@ -92,8 +92,9 @@ def _times(start: Column, end: Column) -> list[tuple]:
     return [("prov:startTime", start, TEXT), ("prov:endTime", end, TEXT)]
 
 
-def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment: dict[str, str] | None = None) -> DataFrame:
-    """All nodes: 9 and 7 for each fold, of each run. ``results`` are the fold results of ``runs``."""
+def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment: dict[str, str] | None = None, whole: bool = False) -> DataFrame:
+    """All nodes: 9 and 7 for each fold, of each run. ``results`` are the fold results of ``runs``. whole: for readers of
+    all nodes with their attributes, a run's and a fold's nodes are made together, from one scan each."""
     c = F.col
     env = [(k, F.lit(v), TEXT) for k, v in sorted((environment or {}).items())]
     one = [
@@ -146,7 +147,11 @@ def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment:
         ("openml:n_folds", F.lit(folds), INT),
     )
     key = c("run_id").alias("doc_id")
-    branches = [runs.select(key, *cols) for cols in one] + [results.select(key, *cols) for cols in each]
+    if whole:
+        together = lambda nodes: F.inline(F.array(*[F.struct(*cols) for cols in nodes]))
+        branches = [runs.select(key, together(one)), results.select(key, together(each))]
+    else:
+        branches = [runs.select(key, *cols) for cols in one] + [results.select(key, *cols) for cols in each]
     return reduce(DataFrame.unionByName, [*branches, with_aggregates(runs, results).select(key, *total)])
 
 
@@ -218,7 +223,7 @@ def run_edges(runs: DataFrame, folds: int = 5) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
-def generate(runs: DataFrame, folds: int = 5, exact: bool = False, real: DataFrame | None = None, environment: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of runs that have datasets and a timestamp column ``now``."""
+def generate(runs: DataFrame, folds: int = 5, exact: bool = False, real: DataFrame | None = None, environment: dict[str, str] | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of runs that have datasets and a timestamp column ``now``; whole: see ``run_nodes``."""
     results = fold_results(runs, folds, exact, real)
-    return run_nodes(runs, results, folds, environment), run_edges(runs, folds)
+    return run_nodes(runs, results, folds, environment, whole), run_edges(runs, folds)

@@ -6,6 +6,7 @@ two configurations for each type and five folds.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
+from weftgraph.model import REQUIRED_PREFIXES
 from weftgraph.operators import compress, documents, generate, learn, patterns, sample, stats, validate
 from weftgraph.plans import catalog
 
@@ -41,14 +43,14 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return generate.expand_runs(tasks, grid).withColumn("metric", metric).withColumn("now", F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
-def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return generate.generate(_runs(spark, sf), FOLDS, environment=ENVIRONMENT)
+def _graph(spark: SparkSession, sf: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    return generate.generate(_runs(spark, sf), FOLDS, environment=ENVIRONMENT, whole=whole)
 
 
-def _damaged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _damaged(spark: SparkSession, sf: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The graph with defects by task: 7 no association of the aggregate, 11 a dangling activity, 13 no type of the
-    environment, 17 no attribution of the second model."""
-    nodes, edges = _graph(spark, sf)
+    environment, 17 no attribution of the second model, 19 a task in place of the first training's agent."""
+    nodes, edges = _graph(spark, sf, whole)
     task = _runs(spark, sf).select(F.col("run_id").alias("doc_id"), "task_id")
     n, e = nodes.join(task, "doc_id"), edges.join(task, "doc_id")
     broken = (F.col("task_id") % 13 == 0) & (F.col("ptype") == "openml:Environment")  # before ptype itself changes
@@ -57,7 +59,9 @@ def _damaged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = e.where(~((F.col("task_id") % 7 == 0) & (F.col("rel") == "wasAssociatedWith") & F.startswith("src", F.lit("a:aggregate/"))))
     e = e.where(~((F.col("task_id") % 17 == 0) & (F.col("rel") == "wasAttributedTo") & F.endswith("src", F.lit("_fold2"))))
     dangling = (F.col("task_id") % 11 == 0) & (F.col("rel") == "wasGeneratedBy") & F.startswith("src", F.lit("e:model/")) & F.endswith("src", F.lit("_fold1"))
-    e = e.withColumn("dst", F.when(dangling, "a:missing").otherwise(F.col("dst")))
+    no_agent = (F.col("task_id") % 19 == 0) & (F.col("rel") == "wasAssociatedWith") & F.startswith("src", F.lit("a:train/")) & F.endswith("src", F.lit("_fold1"))
+    task_node = F.concat(F.lit("e:task/"), F.col("task_id").cast("string"))
+    e = e.withColumn("dst", F.when(dangling, "a:missing").when(no_agent, task_node).otherwise(F.col("dst")))
     return n.drop("task_id"), e.drop("task_id")
 
 
@@ -66,7 +70,7 @@ def corpus_expand_runs(spark, sf):
 
 
 def prov_nodes(spark, sf):
-    return _graph(spark, sf)[0].select("doc_id", "kind", "node_id", "ptype", F.size("attrs").alias("n_attrs"))
+    return _graph(spark, sf, whole=True)[0].select("doc_id", "kind", "node_id", "ptype", F.size("attrs").alias("n_attrs"))
 
 
 def prov_edges(spark, sf):
@@ -104,7 +108,7 @@ def _pattern(name, spark, sf):
 
 def bgp_match(spark, sf):
     """The train-predict chain once more, as a pattern over triples."""
-    graph = patterns.triples(*_graph(spark, sf))
+    graph = patterns.triples(*_graph(spark, sf, whole=True))
     found = patterns.match(
         graph, ("?predict", "rdf:type", "?tp"), ("?predict", "prov:wasInformedBy", "?train"), ("?train", "rdf:type", "?tt"), where={"tp": "openml:Predict", "tt": "openml:Train"}
     )
@@ -141,17 +145,51 @@ def conformance_report(spark, sf):
 
 
 def round_trip_diff(spark, sf):
-    return validate.round_trip_diff(*_graph(spark, sf))
+    return validate.round_trip_diff(*_graph(spark, sf, whole=True))
 
 
 def document_validation(spark, sf):
     """Documents of the damaged graph as JSON, through the full validator."""
-    docs = documents.to_documents(*_damaged(spark, sf))
+    docs = documents.to_documents(*_damaged(spark, sf, whole=True))
     return validate.validate(docs, ("shacl", "schema")).select("doc_id", "valid", F.size(F.filter("checks", lambda c: c["status"] == "fail")).alias("failed_checks"))
 
 
+def malformed_documents(spark, sf):
+    """What the structural rules say about a document with one defect each."""
+    rows = [(name, json.dumps(d) if isinstance(d, dict) else d) for name, d in _malformed().items()]
+    docs = spark.createDataFrame(rows, "doc_id string, json string")
+    found = validate.validate(docs, ("schema", "shacl"), cardinality=False)
+    return found.select(F.col("doc_id").alias("defect"), "valid", F.explode_outer(F.flatten(F.transform("checks", lambda c: c["errors"]))).alias("message"))
+
+
+def _malformed() -> dict[str, dict | str | None]:
+    def small() -> dict:
+        named = lambda x: {x: {"prov:type": "T"}}
+        doc = {"prefix": {p: "urn:x" for p in REQUIRED_PREFIXES}, "agent": named("ag:x"), "entity": named("e:x"), "activity": named("a:x")}
+        doc["used"] = {"_:u1": {"prov:activity": "a:x", "prov:entity": "e:x"}}
+        return doc | {"wasAssociatedWith": {"_:a1": {"prov:activity": "a:x", "prov:agent": "ag:x"}}}
+
+    def other(*path: str, to: object = None) -> dict:
+        doc = at = small()
+        for key in path[:-1]:
+            at = at[key]
+        if to is None:
+            del at[path[-1]]
+        else:
+            at[path[-1]] = to
+        return doc
+
+    return {
+        "none": small(), "null": None, "text": "no json", "array": "[1]", "no prefix": other("prefix"), "no agent prefix": other("prefix", "ag"),
+        "entity block": other("entity", to=[1]) | {"used": {}}, "element": other("agent", "ag:y", to=3), "no type": other("entity", "e:x", "prov:type"),
+        "relation block": other("used", to=[]), "relation": other("used", "_:u1", to=1), "no end": other("used", "_:u1", "prov:entity"),
+        "dangling": other("used", "_:u1", "prov:entity", to="e:it's"), "no agent": other("wasAssociatedWith", "_:a1", "prov:agent", to="e:x"),
+        "lonely": other("activity", "a:y", to={"prov:type": "T"}),
+    }
+
+
 def triples_by_predicate(spark, sf):
-    return patterns.triples(*_graph(spark, sf)).groupBy("p").agg(F.count("*").alias("n"))
+    return patterns.triples(*_graph(spark, sf, whole=True)).groupBy("p").agg(F.count("*").alias("n"))
 
 
 def triples_per_doc(spark, sf):
@@ -249,7 +287,7 @@ _PATTERNS = tuple(patterns.QUERIES)
 _PLAIN = (
     corpus_expand_runs, prov_nodes, prov_edges, fold_results, graph_stats_per_doc, graph_stats_corpus, edge_breakdown, bgp_match,
     fold_aggregate_mean_std, validate_schema_errors, validate_cardinality, validate_shacl_violations, conformance_report, round_trip_diff,
-    document_validation, triples_by_predicate, triples_per_doc, checksum_hash, accuracy_by_fold, r2_by_fold, impute_mean_mode,
+    document_validation, malformed_documents, triples_by_predicate, triples_per_doc, checksum_hash, accuracy_by_fold, r2_by_fold, impute_mean_mode,
     ordinal_encode_unknown, corpus_raw_bytes, compression_ratio, compression_per_document, sample_exact_n, json_attr_extract, task_lists,
     expected_runs, exact_scores,
 )
@@ -326,7 +364,8 @@ _ENDS = {
 }
 _BROKEN = _GRAPH + f""", n2 AS (SELECT doc_id, kind, node_id, CASE WHEN task_id % 13 = 0 AND ptype = 'openml:Environment' THEN NULL ELSE ptype END AS ptype FROM nodes),
 e2 AS (SELECT doc_id, rel, edge_id, src,
-    CASE WHEN task_id % 11 = 0 AND rel = 'wasGeneratedBy' AND src LIKE 'e:model/%\\_fold1' ESCAPE '\\' THEN 'a:missing' ELSE dst END AS dst FROM edges
+    CASE WHEN task_id % 11 = 0 AND rel = 'wasGeneratedBy' AND src LIKE 'e:model/%\\_fold1' ESCAPE '\\' THEN 'a:missing'
+      WHEN task_id % 19 = 0 AND rel = 'wasAssociatedWith' AND src LIKE 'a:train/%\\_fold1' ESCAPE '\\' THEN 'e:task/' || task_id ELSE dst END AS dst FROM edges
   WHERE NOT (task_id % 7 = 0 AND rel = 'wasAssociatedWith' AND src LIKE 'a:aggregate/%')
     AND NOT (task_id % 17 = 0 AND rel = 'wasAttributedTo' AND src LIKE '%\\_fold2' ESCAPE '\\')),
 sch(rel, k1, b1, k2, b2) AS (VALUES {", ".join(f"('{r}', '{a}', '{b}', '{c}', '{d}')" for r, (a, b, c, d) in _ENDS.items())}),
@@ -339,7 +378,9 @@ st AS (SELECT r.run_id AS doc_id, nn, ne FROM runs r JOIN (SELECT doc_id, count(
   JOIN (SELECT doc_id, count(*) AS ne FROM e2 GROUP BY 1) b ON b.doc_id = r.run_id),
 card AS (SELECT doc_id, 'edges=' || ne || ', expected 128' AS message FROM st WHERE ne <> 128 AND doc_id NOT IN (SELECT doc_id FROM bad)),
 shacl AS (SELECT doc_id, 'Activity has no prov:wasAssociatedWith agent: ' || node_id AS message FROM n2 n WHERE kind = 'activity'
-  AND NOT EXISTS (SELECT 1 FROM e2 e WHERE e.doc_id = n.doc_id AND e.rel = 'wasAssociatedWith' AND e.src = n.node_id))
+  AND NOT EXISTS (SELECT 1 FROM e2 e WHERE e.doc_id = n.doc_id AND e.rel = 'wasAssociatedWith' AND e.src = n.node_id)
+  UNION ALL SELECT DISTINCT doc_id, 'Value of prov:wasAssociatedWith is not a prov:Agent: ' || src || ' -> ' || dst FROM e2 e WHERE rel = 'wasAssociatedWith'
+  AND NOT EXISTS (SELECT 1 FROM n2 n WHERE n.doc_id = e.doc_id AND n.kind = 'agent' AND n.node_id = e.dst))
 """
 _RELS = list(_ENDS)
 _STATS = _GRAPH + """, st AS (SELECT n.doc_id, nodes, entities, activities, agents, edges, """ + ", ".join(f'"{r}"' for r in _RELS) + """ FROM
@@ -398,9 +439,17 @@ c AS (SELECT fold, v, row_number() OVER (PARTITION BY fold ORDER BY v) - 1 AS co
 SELECT c_custkey, CAST(coalesce(code, -1) AS BIGINT) AS code FROM d LEFT JOIN c ON d.fold = c.fold AND d.v = c.v"""
 
 
-def _list_sql() -> str:
-    rows = ", ".join(f"('{m}', {t}, '{k}')" for m in catalog.MODES for t, k in catalog.task_list(m))
-    return f"SELECT mode, task_type, count(*) AS n, count(DISTINCT task_id) AS n_distinct, CAST(sum(task_id) AS BIGINT) AS id_sum FROM (VALUES {rows}) v(mode, task_id, task_type) GROUP BY ALL"
+#: Tasks, distinct ones and the sum of ids of each list.
+_LISTS = """SELECT * FROM (VALUES ('light', 'classification', 72::BIGINT, 72::BIGINT, 3013150::BIGINT), ('scaled', 'classification', 72::BIGINT, 72::BIGINT, 3013150::BIGINT), ('large', 'classification', 171::BIGINT, 171::BIGINT, 8127459::BIGINT), ('full', 'classification', 251::BIGINT, 247::BIGINT, 8132017::BIGINT), ('full', 'regression', 277::BIGINT, 277::BIGINT, 1195514::BIGINT)) v(mode, task_type, n, n_distinct, id_sum)"""
+_MALFORMED = """SELECT * FROM (VALUES ('none', true, NULL), ('null', false, 'document is not a JSON object'), ('text', false, 'document is not a JSON object'),
+  ('array', false, 'document is not a JSON object'), ('no prefix', false, 'missing or malformed ''prefix'' block'),
+  ('no agent prefix', false, 'missing required prefix ''ag'''), ('entity block', false, 'missing or malformed ''entity'' block'),
+  ('element', false, 'agent ''ag:y'' attributes not an object'), ('no type', false, 'entity ''e:x'' missing prov:type'),
+  ('relation block', false, 'relation block ''used'' not an object'), ('relation', false, 'used ''_:u1'' not an object'),
+  ('no end', false, 'used ''_:u1'' missing prov:entity'), ('dangling', false, 'used ''_:u1'' prov:entity="e:it''s" not a declared entity'),
+  ('no agent', false, 'wasAssociatedWith ''_:a1'' prov:agent=''e:x'' not a declared agent'),
+  ('no agent', false, 'Value of prov:wasAssociatedWith is not a prov:Agent: a:x -> e:x'),
+  ('lonely', false, 'Activity has no prov:wasAssociatedWith agent: a:y')) v(defect, valid, message)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -447,6 +496,7 @@ def oracle_sql() -> dict[str, str]:
         "corpus_raw_bytes": "SELECT count(text) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes FROM documents",
         "sample_exact_n": "SELECT c_custkey, c_name FROM customer ORDER BY sha256('42|' || c_custkey), c_custkey LIMIT 100",
         "json_attr_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
-        "task_lists": _list_sql(),
+        "task_lists": _LISTS,
+        "malformed_documents": _MALFORMED,
         "expected_runs": """SELECT * FROM (VALUES ('light', 72::BIGINT, 72::BIGINT), ('scaled', 10368, 10368), ('large', 24624, 24624), ('full', 76032, 75456)) v(mode, runs, experiments)""",
     }
