@@ -1,12 +1,21 @@
+import bz2
+import gzip
+import lzma
+import math
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weftgraph import cli
-from weftgraph.operators import compress, learn
+from weftgraph.operators import compress, ensembles, learn, patterns
+from weftgraph.operators.ensembles import Neighbours
+from weftgraph.plans import catalog
+from weftgraph.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 CHEAP = ("corpus_expand_runs", "fold_results", "edge_breakdown", "train_predict_chain", "accuracy_by_fold", "r2_by_fold", "impute_mean_mode",
@@ -48,7 +57,7 @@ def test_cross_validation(spark):
     with pytest.raises(ValueError, match="Unknown model"):
         learn.estimator("Nothing", {}, 1, 2)
     with pytest.raises(NotImplementedError):
-        learn.estimator("KNN", {}, 1, 2)
+        learn.estimator("SVR", {}, 1, 2)
 
 
 def test_codecs_of_empty_input(spark):
@@ -110,3 +119,86 @@ def test_real_execution_runs_the_clients_tasks(spark, tmp_path):
 
 def test_entry_has_a_stable_schema(spark):
     assert entry.entry(spark).columns == ["predict", "train"]
+
+
+def blobs(spark, n=90):
+    rng = random.Random(6)
+    rows = []
+    for i in range(n):
+        k = i % 3
+        rows.append((3.0 * k + rng.gauss(0, 0.4), rng.gauss(0, 1) - 2 * (k == 1), float(k), 10.0 * k + rng.gauss(0, 0.1)))
+    df = spark.createDataFrame(rows, "a double, b double, k double, y double")
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+
+
+def test_neighbours_equal_brute_force(spark):
+    df = blobs(spark)
+    rows = [((r["a"], r["b"]), r["k"], r["y"]) for r in df.collect()]
+    for classify, config in ((True, {"n_neighbors": 5}), (True, {"n_neighbors": 4, "metric": "manhattan", "weights": "distance"}), (False, {"n_neighbors": 3}), (False, {"n_neighbors": 3, "weights": "distance"})):
+        label = "k" if classify else "y"
+        got = [r["prediction"] for r in Neighbours(classify, **config).fit(df.withColumn("label", F.col(label))).transform(df).collect()]
+        dist = (lambda p, q: abs(p[0] - q[0]) + abs(p[1] - q[1])) if config.get("metric") else math.dist
+        for (p, *_), g in zip(rows, got, strict=True):
+            near = sorted(((dist(p, q), i, k, y) for i, (q, k, y) in enumerate(rows)))[: config["n_neighbors"]]
+            exact = any(d == 0 for d, *_ in near)
+            w = [(1.0 if not config.get("weights") else float(d == 0) if exact else 1 / d) for d, *_ in near]
+            if classify:
+                want = max((0.0, 1.0, 2.0), key=lambda c: (sum(x for x, n in zip(w, near, strict=True) if n[2] == c), -c))
+            else:
+                want = sum(x * n[3] for x, n in zip(w, near, strict=True)) / sum(w)
+            assert g == pytest.approx(want)
+    with pytest.raises(ValueError, match="too many"):
+        ensembles.NEIGHBOUR_CELLS, old = 10, ensembles.NEIGHBOUR_CELLS
+        try:
+            Neighbours(True).fit(df.withColumn("label", F.col("k")))
+        finally:
+            ensembles.NEIGHBOUR_CELLS = old
+
+
+def test_boosting_learns_what_one_stump_cannot(spark):
+    df = blobs(spark)
+    found = ensembles.AdaBoost(True, 3, n_estimators=4).fit(df.withColumn("label", F.col("k")))
+    assert 2 <= len(found.members) <= 4 and found.transform(df).where("prediction = k").count() >= 85
+    found = ensembles.AdaBoost(False, n_estimators=3).fit(df.withColumn("label", F.col("y")))
+    assert found.transform(df).agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1
+
+
+def test_every_model_of_the_grids_has_an_estimator(spark):
+    for task_type, grids in (("classification", catalog.classification_grid()), ("regression", catalog.regression_grid())):
+        for model, configs in grids.items():
+            for config in configs:
+                try:
+                    assert learn.estimator(model, config, 4, 3) is not None
+                except NotImplementedError:
+                    assert model in ("SVM", "SVR", "MLPRegressor")
+    with pytest.raises(ValueError, match="Unknown model"):
+        learn.estimator("Oracle", {}, 1, 2)
+
+
+def test_streams_equal_one_shot_codecs(spark):
+    rows = [(i, f"document {i} " * (i % 7)) for i in range(200)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = b"".join((t or "").encode() for _, t in rows)
+    got = {r["codec"]: r for r in compress.single_stream(df, "text", "doc_id").collect()}
+    want = {"gzip": len(gzip.compress(raw, 9)), "bz2": len(bz2.compress(raw, 9)), "lzma": len(lzma.compress(raw))}
+    assert all(abs(got[k]["compressed_bytes"] - n) <= 64 for k, n in want.items()) and {r["raw_bytes"] for r in got.values()} == {len(raw)}
+    each = compress.per_document(df, "doc_id", "text").collect()
+    assert len(each) % 201 == 0
+
+
+def test_malformed_lists_and_patterns(spark, tmp_path):
+    (tmp_path / "tasks.txt").write_text("3 6\n11\n")
+    assert catalog.read_task_list(tmp_path / "tasks.txt") == [3, 6, 11]
+    graph = spark.createDataFrame([("a", "p", "b", True)], "s string, p string, o string, o_is_iri boolean")
+    with pytest.raises(ValueError, match="shares no variable"):
+        patterns.match(graph, ("?x", "p", "?y"), ("?u", "p", "?v"))
+
+
+def test_files_are_the_same_when_written_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(f"r{i}", i % 2, "M", '{"a": 1}') for i in range(6)], "doc_id string, task_id int, model string, json string")
+    first = sorted(r["path"] for r in sinks.write_files(docs, str(tmp_path)).collect())
+    assert first == sorted(r["path"] for r in sinks.write_files(docs, str(tmp_path)).collect())
+    assert sorted(str(p) for p in tmp_path.rglob("*") if p.is_file()) == first and len(first) == 6
+    sinks.write_parquet(docs, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 6
+    assert sinks.pretty_json(docs).first()["json"] == '{\n  "a": 1\n}'

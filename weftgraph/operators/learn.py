@@ -116,18 +116,34 @@ def split(df: DataFrame, k: int, fold: str = "fold") -> tuple[DataFrame, DataFra
 
 
 def estimator(model: str, config: dict, n_features: int, n_classes: int | None):
-    """The Spark ML estimator of a model name, with the parameters that both sides know. Models that Spark ML has no
-    counterpart of raise NotImplementedError; unknown names ValueError. Scores need not equal another library's."""
+    """The Spark estimator of a model name, with the parameters that both sides know. Extra trees are forests of whole
+    samples, whose cuts aren't random; bagging is a forest that may use all features at each cut; histogram boosting is
+    Spark's boosting, which bins features anyway. Support vectors with other kernels than the linear one raise
+    NotImplementedError; unknown names ValueError. Scores need not equal another library's."""
     from pyspark.ml import classification as C
     from pyspark.ml import regression as R
 
-    from weftgraph.plans.catalog import SCORES
+    from weftgraph.operators.ensembles import AdaBoost, Neighbours
 
     depth = min(config.get("max_depth") or 30, 30)
     seed = config.get("random_state", 42)
     forest = {"numTrees": config.get("n_estimators", 100), "maxDepth": depth, "seed": seed}
     boost = {"maxIter": config.get("n_estimators", 100), "stepSize": config.get("learning_rate", 0.1), "maxDepth": min(config.get("max_depth") or 3, 30), "seed": seed}
+    whole = forest | {"bootstrap": config.get("bootstrap", False), "subsamplingRate": 1.0}
+    bags = {"numTrees": config.get("n_estimators", 10), "maxDepth": 30, "seed": seed, "subsamplingRate": config.get("max_samples", 1.0), "featureSubsetStrategy": str(config.get("max_features", "all"))}
+    bins = {"maxIter": config.get("max_iter", 100), "stepSize": config.get("learning_rate", 0.1), "maxDepth": config.get("max_depth") or 5, "maxBins": 255, "seed": seed}
     make: dict[str, Callable] = {
+        "ExtraTrees": lambda: C.RandomForestClassifier(**whole),
+        "BaggingClassifier": lambda: C.RandomForestClassifier(**bags),
+        "HistGradientBoosting": lambda: C.GBTClassifier(**bins) if n_classes == 2 else C.OneVsRest(classifier=C.GBTClassifier(**bins)),
+        "KNN": lambda: Neighbours(True, **config),
+        "AdaBoost": lambda: AdaBoost(True, n_classes, **config),
+        "ExtraTreesRegressor": lambda: R.RandomForestRegressor(**whole),
+        "HistGradientBoostingRegressor": lambda: R.GBTRegressor(**bins),
+        "KNeighborsRegressor": lambda: Neighbours(False, **config),
+        "AdaBoostRegressor": lambda: AdaBoost(False, **config),
+        "MLPRegressor": lambda: _missing("MLPRegressor"),
+        "SVR": lambda: _missing("SVR"),
         "RandomForest": lambda: C.RandomForestClassifier(**forest),
         "GradientBoosting": lambda: C.GBTClassifier(**boost) if n_classes == 2 else C.OneVsRest(classifier=C.GBTClassifier(**boost)),
         "LogisticRegression": lambda: C.LogisticRegression(regParam=1.0 / config.get("C", 1.0) / 1000, maxIter=config.get("max_iter", 100)),
@@ -144,11 +160,13 @@ def estimator(model: str, config: dict, n_features: int, n_classes: int | None):
     }
     if model in make:
         return make[model]()
-    if any(model in names for names in SCORES.values()):
-        raise NotImplementedError(f"Spark ML has no {model}")
     raise ValueError(f"Unknown model '{model}'. Available: {sorted(make)}")
 
 
+def _missing(model: str):
+    raise NotImplementedError(f"there is no {model} on Spark")
+
+
 def _linear_svm(classifiers, config: dict, n_classes: int | None):
     if config.get("kernel", "rbf") != "linear":
         raise NotImplementedError("Spark ML has linear SVMs only")
