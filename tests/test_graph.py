@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from weftgraph.api import CorpusConfig, CorpusGenerator, ProvDocumentBuilder, evaluate
 from weftgraph.model import RELATIONS, expected_counts
 from weftgraph.operators import documents, generate, patterns, stats, validate
+from weftgraph.sources import corpus
+from weftgraph.streaming import ingest
 
 ENV = {f"ml:{k}": "x" for k in "abcde"}
 
@@ -183,3 +185,45 @@ def test_generate_and_evaluate_a_corpus(spark, tmp_path):
     assert results["compression"]["codecs"]["gzip"]["ratio"] > 3 and (tmp_path / "out" / "eval_light_queries.tex").exists()
     with pytest.raises(SystemExit):
         evaluate(spark, str(tmp_path / "out"))
+
+
+def test_ingest_of_repeated_batches(spark, tmp_path):
+    """Files arrive in two steps; a batch that runs again overwrites its own rows."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    bad = small()
+    bad["entity"]["e:y"] = {}
+
+    def arrive(name, doc):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"prov_{name}.json").write_text(json.dumps(doc))
+
+    def run(where):
+        ingest.ingest(spark, source, out, where, ("schema",), "strict", False).awaitTermination()
+
+    arrive("a", small())
+    arrive("b", bad)
+    run(state)
+    assert spark.read.parquet(f"{out}/outcomes").count() == 2 and spark.read.parquet(f"{out}/nodes").count() == 3
+    run(state)  # nothing new
+    arrive("c", small())
+    run(state)
+    assert spark.read.parquet(f"{out}/outcomes").groupBy("valid").count().collect() and spark.read.parquet(f"{out}/nodes").count() == 6
+    run(str(tmp_path / "state2"))  # all files again, as batch 0
+    assert spark.read.parquet(f"{out}/outcomes").where("batch = 0").count() == 3
+    assert spark.read.parquet(f"{out}/edges").where("batch = 0").count() == 4
+
+
+def test_env_files_never_override(tmp_path, monkeypatch):
+    monkeypatch.setenv("WEFT_A", "kept")
+    monkeypatch.delenv("WEFT_B", raising=False)
+    (tmp_path / ".env").write_text("WEFT_A=new\nexport WEFT_B='x y'\n# no\n\nbroken line\n")
+    assert corpus.load_env_file(tmp_path / ".env") == {"WEFT_A": "kept", "WEFT_B": "x y"}
+    assert corpus.load_env_file(tmp_path / "none") == {}
+    monkeypatch.delenv("WEFT_B")
+
+
+def test_exact_documents_round_as_python_does(spark):
+    found = generate.generate(runs(spark), 5, exact=True, environment=ENV, whole=True)[0].where("ptype = 'openml:Metrics'")
+    shown = {r["node_id"]: float(r["v"]) for r in found.select("node_id", F.coalesce(F.col("attrs")["openml:accuracy"], F.col("attrs")["openml:r2_score"]).alias("v")).collect()}
+    raw = generate.fold_results(runs(spark), 5, exact=True).select(F.concat(F.lit("e:metrics/"), "run_id", F.lit("_fold"), "fold").alias("id"), "score").collect()
+    assert shown == {r["id"]: round(r["score"], 6) for r in raw}

@@ -10,6 +10,7 @@ from weftgraph.api import CorpusConfig, CorpusGenerator, evaluate
 from weftgraph.functions.scalars import split_names
 from weftgraph.operators.validate import CHECKS, POLICIES
 from weftgraph.plans.catalog import MODES, expected_runs, task_list
+from weftgraph.sources.corpus import load_env_file
 
 SECONDS_PER_REAL_RUN = 37
 
@@ -49,6 +50,7 @@ def main(argv: list[str] | None = None, ask=input, client=None) -> int:
     args = parser().parse_args(argv)
     if args.command == "generate" and args.real and client is None:
         raise SystemExit("--real needs a task client, and none is bundled: call main() with one")
+    load_env_file(".env")
     spark = SparkSession.builder.appName("weftgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "evaluate":
         evaluate(spark, args.corpus, args.label, args.sample, args.outdir, args.seed, not args.quiet)

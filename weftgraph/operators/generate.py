@@ -92,10 +92,15 @@ def _times(start: Column, end: Column) -> list[tuple]:
     return [("prov:startTime", start, TEXT), ("prov:endTime", end, TEXT)]
 
 
-def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment: dict[str, str] | None = None, whole: bool = False) -> DataFrame:
+def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment: dict[str, str] | None = None, whole: bool = False, exact: bool = False) -> DataFrame:
     """All nodes: 9 and 7 for each fold, of each run. ``results`` are the fold results of ``runs``. whole: for readers of
-    all nodes with their attributes, a run's and a fold's nodes are made together, from one scan each."""
+    all nodes with their attributes, a run's and a fold's nodes are made together, from one scan each. exact: scores
+    are rounded as Python does."""
     c = F.col
+    results = results.withColumn("score6", S.python_round(6)("score") if exact else F.bround("score", 6))
+    totals = with_aggregates(runs, results)
+    for name in ("score_mean", "score_std"):
+        totals = totals.withColumn(name, S.python_round(6)(name) if exact else F.bround(name, 6))
     env = [(k, F.lit(v), TEXT) for k, v in sorted((environment or {}).items())]
     one = [
         _node("agent", F.lit(AGENT), "prov:SoftwareAgent", _id("OpenML sklearn - ", c("model"))),
@@ -138,12 +143,12 @@ def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment:
         _node("activity", tag("a:evaluate/"), "openml:Evaluate", label("Evaluate fold "), *_times(c("eval_start"), c("eval_end"))),
         _node(
             "entity", tag("e:metrics/"), "openml:Metrics", label("Metrics fold "),
-            (_id("openml:", c("metric")), F.bround("score", 6), INT), ("openml:n_samples", c("test_size"), INT),
+            (_id("openml:", c("metric")), c("score6"), INT), ("openml:n_samples", c("test_size"), INT),
         ),
     ]
     total = _node(
         "entity", _id("e:metrics_agg/", c("run_id")), "openml:AggregateMetrics", F.lit("Aggregate Metrics"),
-        (_id("openml:", c("metric"), "_mean"), F.bround("score_mean", 6), INT), (_id("openml:", c("metric"), "_std"), F.bround("score_std", 6), INT),
+        (_id("openml:", c("metric"), "_mean"), c("score_mean"), INT), (_id("openml:", c("metric"), "_std"), c("score_std"), INT),
         ("openml:n_folds", F.lit(folds), INT),
     )
     key = c("run_id").alias("doc_id")
@@ -152,7 +157,7 @@ def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment:
         branches = [runs.select(key, together(one)), results.select(key, together(each))]
     else:
         branches = [runs.select(key, *cols) for cols in one] + [results.select(key, *cols) for cols in each]
-    return reduce(DataFrame.unionByName, [*branches, with_aggregates(runs, results).select(key, *total)])
+    return reduce(DataFrame.unionByName, [*branches, totals.select(key, *total)])
 
 
 def with_aggregates(runs: DataFrame, results: DataFrame) -> DataFrame:
@@ -226,4 +231,4 @@ def run_edges(runs: DataFrame, folds: int = 5) -> DataFrame:
 def generate(runs: DataFrame, folds: int = 5, exact: bool = False, real: DataFrame | None = None, environment: dict[str, str] | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of runs that have datasets and a timestamp column ``now``; whole: see ``run_nodes``."""
     results = fold_results(runs, folds, exact, real)
-    return run_nodes(runs, results, folds, environment, whole), run_edges(runs, folds)
+    return run_nodes(runs, results, folds, environment, whole, exact), run_edges(runs, folds)

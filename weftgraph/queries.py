@@ -243,6 +243,12 @@ def corpus_raw_bytes(spark, sf):
     return compress.raw_bytes(_t(spark, sf, "documents"), "text")
 
 
+def corpus_counters(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("text").alias("json"))
+    tasks = _runs(spark, sf).select("task_id", "task_type").distinct()
+    return stats.corpus_counters(_runs(spark, sf), docs, tasks)
+
+
 def compression_ratio(spark, sf):
     return compress.single_stream(_t(spark, sf, "documents"), "text", "doc_id").drop("seconds")
 
@@ -288,7 +294,7 @@ _PLAIN = (
     corpus_expand_runs, prov_nodes, prov_edges, fold_results, graph_stats_per_doc, graph_stats_corpus, edge_breakdown, bgp_match,
     fold_aggregate_mean_std, validate_schema_errors, validate_cardinality, validate_shacl_violations, conformance_report, round_trip_diff,
     document_validation, malformed_documents, triples_by_predicate, triples_per_doc, checksum_hash, accuracy_by_fold, r2_by_fold, impute_mean_mode,
-    ordinal_encode_unknown, corpus_raw_bytes, compression_ratio, compression_per_document, sample_exact_n, json_attr_extract, task_lists,
+    ordinal_encode_unknown, corpus_raw_bytes, corpus_counters, compression_ratio, compression_per_document, sample_exact_n, json_attr_extract, task_lists,
     expected_runs, exact_scores,
 )
 
@@ -494,6 +500,9 @@ def oracle_sql() -> dict[str, str]:
         "impute_mean_mode": _IMPUTE,
         "ordinal_encode_unknown": _ENCODE,
         "corpus_raw_bytes": "SELECT count(text) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes FROM documents",
+        "corpus_counters": f"""WITH {_RUNS} SELECT (SELECT count(*) FROM runs) AS total_runs, (SELECT count(*) FROM documents) AS total_files,
+            (SELECT CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) FROM documents) AS total_bytes, count(*) AS tasks_processed,
+            count(*) FILTER (task_type = 'classification') AS classification_tasks, count(*) FILTER (task_type <> 'classification') AS regression_tasks FROM tasks""",
         "sample_exact_n": "SELECT c_custkey, c_name FROM customer ORDER BY sha256('42|' || c_custkey), c_custkey LIMIT 100",
         "json_attr_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "task_lists": _LISTS,
