@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import queries
 from weftgraph.api import CorpusConfig, CorpusGenerator, ProvDocumentBuilder, evaluate
 from weftgraph.model import RELATIONS, expected_counts
 from weftgraph.operators import documents, generate, patterns, stats, validate
@@ -227,3 +228,28 @@ def test_exact_documents_round_as_python_does(spark):
     shown = {r["node_id"]: float(r["v"]) for r in found.select("node_id", F.coalesce(F.col("attrs")["openml:accuracy"], F.col("attrs")["openml:r2_score"]).alias("v")).collect()}
     raw = generate.fold_results(runs(spark), 5, exact=True).select(F.concat(F.lit("e:metrics/"), "run_id", F.lit("_fold"), "fold").alias("id"), "score").collect()
     assert shown == {r["id"]: round(r["score"], 6) for r in raw}
+
+
+def test_rules_over_rows_are_those_over_tables(spark):
+    some = runs(spark, n=6)
+    docs = generate.run_documents(some.unionByName(some.where("task_id = 5")), 2, ENV, "json", ("task_id",))
+    copies = {r["doc_id"]: (r["copies"], r["n"]) for r in docs.select("doc_id", "copies", (F.size("entity")).alias("n")).collect()}
+    assert len(copies) == 6 and copies["run5"] == (2, 28) and copies["run0"] == (1, 14)
+    to = lambda n, name, value: F.when(F.col("task_id") == n, value).otherwise(F.col(name))
+    dst = lambda value: lambda e: F.struct(e["edge_id"].alias("edge_id"), e["src"].alias("src"), value.alias("dst"), e["role"].alias("role"))
+    docs = docs.withColumns({
+        "used": to(1, "used", F.transform("used", dst(F.lit("e:it's")))), "wasAttributedTo": to(2, "wasAttributedTo", F.transform("wasAttributedTo", dst(F.lit(None).cast("string")))),
+        "agent": to(3, "agent", F.slice("agent", 1, 0)), "wasAssociatedWith": to(4, "wasAssociatedWith", F.slice("wasAssociatedWith", 2, 3)),
+    }).drop("task_id")
+    found = validate.row_errors(docs, folds=2).select("doc_id", "schema", "shacl").persist()
+    nodes, edges = (t.persist() for t in documents.tables_of(docs))
+    for name, rows in (("schema", validate.table_errors(nodes, edges, folds=2)), ("shacl", validate.shacl_errors(nodes, edges))):
+        want = sorted(map(tuple, rows.select("doc_id", "stage", "item", "message").collect()))
+        got = sorted(map(tuple, found.select("doc_id", F.inline(name)).select("doc_id", "stage", "item", "message").collect()))
+        assert got == want and {r[0] for r in got} >= {"run3", "run4"}
+
+
+def test_rules_of_the_graph_queries_shuffle_no_edges(spark):
+    for query in (queries.conformance_report, queries.validate_schema_errors):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") <= 2 and "LeftAnti" not in plan  # the broadcast grid, once in each branch

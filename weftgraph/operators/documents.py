@@ -68,6 +68,13 @@ def to_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped(statements(nodes, edges).drop("statement"))
 
 
+def tables_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of whole documents as rows, whose nodes have attributes."""
+    tagged = lambda n, name: F.transform(n, lambda e: F.struct(F.lit(n).alias(name), e.alias("e")))
+    each = lambda names, name: F.flatten(F.array(*[tagged(n, name) for n in names]))
+    return tuple(rows.select("doc_id", F.inline(each(names, name))).select("doc_id", name, "e.*") for names, name in ((KINDS, "kind"), (RELATIONS, "rel")))
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """doc_id, doc: (doc_id, json) as VARIANT; null for what isn't JSON, or repeats a key in an object."""
     return documents.select("doc_id", F.try_parse_json("json").alias("doc"))

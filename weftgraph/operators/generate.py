@@ -7,16 +7,18 @@ other branches away, and columns that a query doesn't use (attributes above all)
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
-from weftgraph.model import RELATIONS
+from weftgraph.model import KINDS, RELATIONS
 
 AGENT = "ag:system/OpenML"
 INT, TEXT = "int", "text"
+_STAMPS = {"train_start": 0, "train_end": 3, "pred_start": 4, "pred_end": 5, "eval_start": 6, "eval_end": 7}
 
 
 def expand_runs(tasks: DataFrame, grid: DataFrame) -> DataFrame:
@@ -56,12 +58,11 @@ def fold_results(runs: DataFrame, folds: int = 5, exact: bool = False, real: Dat
     score = S.exact_score(base, F.col("task_id"), F.col("cfg_idx"), f0) if exact else S.native_score(base, F.col("task_id"), F.col("cfg_idx"), f0)
     out = runs.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     train = S.train_size(F.col("n_samples"))
-    stamps = {"train_start": 0, "train_end": 3, "pred_start": 4, "pred_end": 5, "eval_start": 6, "eval_end": 7}
     added = {"score": score, "train_size": train, "test_size": F.col("n_samples") - train}
-    out = out.withColumns(added | {name: S.stamp(F.col("now"), f0 * 10 + shift) for name, shift in stamps.items()})
+    out = out.withColumns(added | {name: S.stamp(F.col("now"), f0 * 10 + shift) for name, shift in _STAMPS.items()})
     if real is None:
         return out
-    names = ["score", "train_size", "test_size", *stamps]
+    names = ["score", "train_size", "test_size", *_STAMPS]
     measured = real.select("run_id", "fold", *[F.col(c).alias(f"real_{c}") for c in names])
     out = out.join(measured, ["run_id", "fold"], "left")
     return out.select(*[F.coalesce(f"real_{c}", c).alias(c) if c in names else F.col(c) for c in out.columns if not c.startswith("real_")])
@@ -76,6 +77,12 @@ def _attributes(*pairs: tuple[str | Column, Column, str]) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
+def _plain_attributes(*pairs: tuple[str | Column, Column, str]) -> Column:
+    """The same as an array (key, value) of texts that aren't quoted."""
+    entries = [F.struct((F.lit(k) if isinstance(k, str) else k).alias("key"), v.cast("string").alias("value")) for k, v, _ in pairs]
+    return F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+
+
 def _node(kind: str, node_id: Column, ptype: str, label: Column | None, *pairs) -> list[Column]:
     first = [("prov:label", label, TEXT)] if label is not None else []
     return [
@@ -92,66 +99,81 @@ def _times(start: Column, end: Column) -> list[tuple]:
     return [("prov:startTime", start, TEXT), ("prov:endTime", end, TEXT)]
 
 
-def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment: dict[str, str] | None = None, whole: bool = False, exact: bool = False) -> DataFrame:
-    """All nodes: 9 and 7 for each fold, of each run. ``results`` are the fold results of ``runs``. whole: for readers of
-    all nodes with their attributes, a run's and a fold's nodes are made together, from one scan each. exact: scores
-    are rounded as Python does."""
-    c = F.col
-    results = results.withColumn("score6", S.python_round(6)("score") if exact else F.bround("score", 6))
-    totals = with_aggregates(runs, results)
-    for name in ("score_mean", "score_std"):
-        totals = totals.withColumn(name, S.python_round(6)(name) if exact else F.bround(name, 6))
+Get = Callable[[str], Column]
+
+
+def _one_nodes(c: Get, environment: dict[str, str] | None, node: Callable) -> list:
+    """A run's own nodes but for its aggregate scores; c gives the columns of runs."""
     env = [(k, F.lit(v), TEXT) for k, v in sorted((environment or {}).items())]
-    one = [
-        _node("agent", F.lit(AGENT), "prov:SoftwareAgent", _id("OpenML sklearn - ", c("model"))),
-        _node(
+    return [
+        node("agent", F.lit(AGENT), "prov:SoftwareAgent", _id("OpenML sklearn - ", c("model"))),
+        node(
             "entity", _id("e:dataset/", c("dataset_id")), "openml:Dataset", _id("Dataset ", c("dataset_id")),
             ("openml:data_id", c("dataset_id"), INT), ("ml:n_samples", c("n_samples"), INT), ("ml:n_features", c("n_features"), INT),
             ("ml:task_type", c("task_type"), TEXT), ("checksum:sha256", S.sha256_of_string(_id("ds_", c("dataset_id"))), TEXT),
         ),
-        _node(
+        node(
             "entity", _id("e:task/", c("task_id")), "openml:Task", _id("Task ", c("task_id")),
-            ("openml:task_id", c("task_id"), INT), ("openml:task_type", _id("Supervised ", F.initcap("task_type")), TEXT),
+            ("openml:task_id", c("task_id"), INT), ("openml:task_type", _id("Supervised ", F.initcap(c("task_type"))), TEXT),
         ),
-        _node(
+        node(
             "entity", _id("e:flow/", c("run_id")), "openml:Flow", _id("Flow: ", c("model")),
-            ("openml:model", c("model"), TEXT), ("openml:flow_hash", F.substr(F.sha2("params_json", 256), F.lit(1), F.lit(16)), TEXT),
+            ("openml:model", c("model"), TEXT), ("openml:flow_hash", F.substr(F.sha2(c("params_json"), 256), F.lit(1), F.lit(16)), TEXT),
         ),
-        _node(
+        node(
             "entity", _id("e:flowparams/", c("run_id")), "openml:FlowParameters", _id("", c("model"), " cfg ", c("cfg_idx")),
-            ("openml:parameters", c("params_json"), TEXT), ("checksum:sha256", F.sha2("params_json", 256), TEXT),
+            ("openml:parameters", c("params_json"), TEXT), ("checksum:sha256", F.sha2(c("params_json"), 256), TEXT),
         ),
-        _node("entity", _id("e:env/", c("run_id")), "openml:Environment", None, *env),
-        _node(
+        node("entity", _id("e:env/", c("run_id")), "openml:Environment", None, *env),
+        node(
             "activity", experiment_id(), "openml:Experiment", _id("Experiment: ", c("model"), " cfg", c("cfg_idx"), " task", c("task_id")),
             *_times(S.stamp(c("now")), S.stamp(c("now"), 60)),
         ),
-        _node("activity", _id("a:aggregate/", c("run_id")), "openml:AggregateEvaluate", F.lit("Aggregate")),
+        node("activity", _id("a:aggregate/", c("run_id")), "openml:AggregateEvaluate", F.lit("Aggregate")),
     ]
+
+
+def _fold_nodes(c: Get, node: Callable) -> list:
+    """A fold's nodes; c gives the columns of fold results."""
     tag = lambda kind: _id(kind, c("run_id"), "_fold", c("fold"))
     label = lambda text: _id(text, c("fold"))
     hashed = lambda text: ("checksum:sha256", S.sha256_of_string(tag(text)), TEXT)
-    each = [
-        _node(
+    return [
+        node(
             "entity", tag("e:split/"), "openml:Split", label("Split fold "), ("fold:number", c("fold"), INT),
             ("fold:train_size", c("train_size"), INT), ("fold:test_size", c("test_size"), INT),
         ),
-        _node("activity", tag("a:train/"), "openml:Train", label("Train fold "), *_times(c("train_start"), c("train_end"))),
-        _node("entity", tag("e:model/"), "openml:Model", label("Model fold "), ("openml:model_name", c("model"), TEXT), hashed("mdl_")),
-        _node("activity", tag("a:predict/"), "openml:Predict", label("Predict fold "), *_times(c("pred_start"), c("pred_end"))),
-        _node("entity", tag("e:predictions/"), "openml:Predictions", label("Predictions fold "), ("ml:n_predictions", c("test_size"), INT), hashed("preds_")),
-        _node("activity", tag("a:evaluate/"), "openml:Evaluate", label("Evaluate fold "), *_times(c("eval_start"), c("eval_end"))),
-        _node(
+        node("activity", tag("a:train/"), "openml:Train", label("Train fold "), *_times(c("train_start"), c("train_end"))),
+        node("entity", tag("e:model/"), "openml:Model", label("Model fold "), ("openml:model_name", c("model"), TEXT), hashed("mdl_")),
+        node("activity", tag("a:predict/"), "openml:Predict", label("Predict fold "), *_times(c("pred_start"), c("pred_end"))),
+        node("entity", tag("e:predictions/"), "openml:Predictions", label("Predictions fold "), ("ml:n_predictions", c("test_size"), INT), hashed("preds_")),
+        node("activity", tag("a:evaluate/"), "openml:Evaluate", label("Evaluate fold "), *_times(c("eval_start"), c("eval_end"))),
+        node(
             "entity", tag("e:metrics/"), "openml:Metrics", label("Metrics fold "),
             (_id("openml:", c("metric")), c("score6"), INT), ("openml:n_samples", c("test_size"), INT),
         ),
     ]
-    total = _node(
+
+
+def _total_node(c: Get, folds: int, node: Callable):
+    return node(
         "entity", _id("e:metrics_agg/", c("run_id")), "openml:AggregateMetrics", F.lit("Aggregate Metrics"),
         (_id("openml:", c("metric"), "_mean"), c("score_mean"), INT), (_id("openml:", c("metric"), "_std"), c("score_std"), INT),
         ("openml:n_folds", F.lit(folds), INT),
     )
-    key = c("run_id").alias("doc_id")
+
+
+def run_nodes(runs: DataFrame, results: DataFrame, folds: int = 5, environment: dict[str, str] | None = None, whole: bool = False, exact: bool = False) -> DataFrame:
+    """All nodes: 9 and 7 for each fold, of each run. ``results`` are the fold results of ``runs``. whole: for readers of
+    all nodes with their attributes, a run's and a fold's nodes are made together, from one scan each. exact: scores
+    are rounded as Python does."""
+    results = results.withColumn("score6", S.python_round(6)("score") if exact else F.bround("score", 6))
+    totals = with_aggregates(runs, results)
+    for name in ("score_mean", "score_std"):
+        totals = totals.withColumn(name, S.python_round(6)(name) if exact else F.bround(name, 6))
+    one, each = _one_nodes(F.col, environment, _node), _fold_nodes(F.col, _node)
+    total = _total_node(F.col, folds, _node)
+    key = F.col("run_id").alias("doc_id")
     if whole:
         together = lambda nodes: F.inline(F.array(*[F.struct(*cols) for cols in nodes]))
         branches = [runs.select(key, together(one)), results.select(key, together(each))]
@@ -171,10 +193,8 @@ def experiment_id() -> Column:
     return _id("a:experiment/t", F.col("task_id"), "_", F.col("model"), "_cfg", F.col("cfg_idx"))
 
 
-def run_edges(runs: DataFrame, folds: int = 5) -> DataFrame:
-    """All edges, 8 and 24 for each fold, of each run. Edge ids count each relation in the template's order, from
-    arithmetic alone: nothing is ranked."""
-    c = F.col
+def _edge_lists(c: Get, folds: int) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
+    """(relation, struct of edge_id, src, dst, role) of a run, and of a fold; c gives the columns of runs and ``fold``."""
     agent = F.lit(AGENT)
     data, task = _id("e:dataset/", c("dataset_id")), _id("e:task/", c("task_id"))
     flow, params, env = (_id(f"e:{x}/", c("run_id")) for x in ("flow", "flowparams", "env"))
@@ -217,7 +237,14 @@ def run_edges(runs: DataFrame, folds: int = 5) -> DataFrame:
         edge("used", 10 * n + 5 + fold, aggregate, metrics, "fold-metrics"),
         edge("wasDerivedFrom", 2 * n + fold, total, metrics),
     ]
-    key = c("run_id").alias("doc_id")
+    return one, each
+
+
+def run_edges(runs: DataFrame, folds: int = 5) -> DataFrame:
+    """All edges, 8 and 24 for each fold, of each run. Edge ids count each relation in the template's order, from
+    arithmetic alone: nothing is ranked."""
+    one, each = _edge_lists(F.col, folds)
+    key = F.col("run_id").alias("doc_id")
     by_fold = runs.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     branches = []
     for rel in RELATIONS:
@@ -232,3 +259,51 @@ def generate(runs: DataFrame, folds: int = 5, exact: bool = False, real: DataFra
     """(nodes, edges) of runs that have datasets and a timestamp column ``now``; whole: see ``run_nodes``."""
     results = fold_results(runs, folds, exact, real)
     return run_nodes(runs, results, folds, environment, whole, exact), run_edges(runs, folds)
+
+
+def run_documents(runs: DataFrame, folds: int = 5, environment: dict[str, str] | None = None, attrs: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Whole documents as rows: doc_id, copies, ``keep``, an array of nodes (node_id, ptype [, attrs]) for each kind and
+    one of edges (edge_id, src, dst, role) for each relation. Each is made from its run alone, so that rules
+    about one document need no shuffle of nodes and edges.
+
+    attrs: "json" adds maps of JSON literals, "plain" arrays (key, value) of their texts. Scores are synthetic.
+    Runs that share a run_id (copies > 1) become one document that holds the nodes and edges of all, ``keep`` of
+    any one of them; only runs, and those documents, are shuffled.
+    """
+    c = F.col
+    key = Window.partitionBy("run_id")
+    runs = runs.repartition("run_id").withColumn("copies", F.count("*").over(key))
+    values: dict[str, Column] = {}
+    if attrs:
+        base = F.coalesce(c("base_score"), F.lit(0.75))
+        train = S.train_size(c("n_samples"))
+        for f in range(folds):
+            values[f"score_{f}"] = S.native_score(base, c("task_id"), c("cfg_idx"), F.lit(f))
+            values |= {f"{name}_{f}": S.stamp(c("now"), 10 * f + shift) for name, shift in _STAMPS.items()}
+        runs = runs.withColumns(values | {"train_size": train, "test_size": c("n_samples") - train})
+        scores = [c(f"score_{f}") for f in range(folds)]
+        mean = sum(scores[1:], scores[0]) / folds
+        runs = runs.withColumn("mean", mean)
+        deviation = F.sqrt(sum(((x - c("mean")) * (x - c("mean")) for x in scores[1:]), (scores[0] - c("mean")) * (scores[0] - c("mean"))) / folds)
+        runs = runs.withColumns({"score_mean": F.bround("mean", 6), "score_std": F.bround(deviation, 6)})
+
+    def node(kind: str, node_id: Column, ptype: str, label: Column | None, *pairs) -> tuple[str, Column]:
+        first = [("prov:label", label, TEXT)] if label is not None else []
+        made = {"json": _attributes, "plain": _plain_attributes}.get(attrs)
+        more = [made(*first, ("prov:type", F.lit(ptype), TEXT), *pairs).alias("attrs")] if made else []
+        return kind, F.struct(node_id.alias("node_id"), F.when(F.lit(True), F.lit(ptype)).alias("ptype"), *more)
+
+    def of(f: int) -> Get:
+        fixed = {"fold": F.lit(f + 1), "score6": F.bround(c(f"score_{f}"), 6) if attrs else F.lit(0.0)}
+        return lambda name: fixed[name] if name in fixed else c(f"{name}_{f}") if name in _STAMPS else c(name)
+
+    nodes = _one_nodes(c, environment, node) + [x for f in range(folds) for x in _fold_nodes(of(f), node)] + [_total_node(c, folds, node)]
+    edges = _edge_lists(c, folds)[0] + [x for f in range(folds) for x in _edge_lists(of(f), folds)[1]]
+    blocks = [F.array(*[x for k, x in rows if k == name]).alias(name) for names, rows in ((KINDS, nodes), (RELATIONS, edges)) for name in names]
+    # A lambda keeps this projection out of whole-stage code, whose one method for all blocks is too long for the JIT.
+    doc_id = F.get(F.transform(F.array("run_id"), lambda x: x), F.lit(0)).alias("doc_id")
+    made = runs.select(doc_id, "copies", *keep, *blocks)
+    shared = made.where("copies > 1").groupBy("doc_id").agg(
+        F.first("copies").alias("copies"), *[F.first(k).alias(k) for k in keep], *[F.flatten(F.collect_list(b)).alias(b) for b in (*KINDS, *RELATIONS)]
+    )
+    return made.where("copies = 1").unionByName(shared)

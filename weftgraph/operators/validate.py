@@ -7,7 +7,7 @@ within a rule in the order of ids. References are anti joins on (doc_id, kind, i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +112,98 @@ def shacl_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(_errors(wrong, 1, F.concat_ws("|", "node_id", "dst"), _say("Value of prov:wasAssociatedWith is not a prov:Agent: %s -> %s", "node_id", "dst")))
 
 
+def _element_rows(i: int, kind: str, error: Callable, parsed: bool) -> list[Column]:
+    """Arrays of errors of the nodes of a kind."""
+    say = lambda text: lambda n: error(3, F.concat_ws("|", F.lit(str(i)), n["node_id"]), F.concat(F.lit(f"{kind} '"), n["node_id"], F.lit(f"' {text}")))
+    untyped = say("missing prov:type")
+    if not parsed:
+        return [F.transform(F.filter(kind, lambda n: n["ptype"].isNull()), untyped)]
+    broken, typeless = F.filter(kind, lambda n: ~n["is_object"]), F.filter(kind, lambda n: n["is_object"] & ~n["has_type"])
+    return [F.transform(broken, say("attributes not an object")), F.transform(typeless, untyped)]
+
+
+def _relation_rows(i: int, rel: str, error: Callable, parsed: bool) -> Callable[[Column], Column]:
+    """From an edge to the array of its errors, with nulls for what is right."""
+    a, b, kind_a, kind_b, _ = RELATIONS[rel]
+
+    def errors(e: Column) -> Column:
+        begin = F.concat(F.lit(f"{rel} '"), e["edge_id"], F.lit("' "))
+        order = F.concat_ws("|", F.lit(str(i)), F.format_string("%06d", F.length(e["edge_id"])), e["edge_id"])
+
+        def end(side: int, name: str, key: str, kind: str) -> Column:
+            ref, text = e[name], e[f"{name}_text"] if parsed else F.lit(True)
+            other = F.when(ref == "true", "True").when(ref == "false", "False").otherwise(ref)
+            shown = F.when(text, repr_text(ref)).otherwise(other)
+            lost = F.coalesce(F.array_contains(f"lost_{kind}", ref), F.lit(False)) | ~text
+            said = F.when(ref.isNull(), F.concat(begin, F.lit(f"missing {key}"))).when(lost, F.concat(begin, F.lit(f"{key}="), shown, F.lit(f" not a declared {kind}")))
+            return F.when(said.isNotNull(), error(4, F.concat(order, F.lit(f"|{side}")), said))
+
+        ends = F.array(end(0, "src", a, kind_a), end(1, "dst", b, kind_b))
+        return F.when(e["is_object"], ends).otherwise(F.array(error(4, order, F.concat(begin, F.lit("not an object"))))) if parsed else ends
+
+    return errors
+
+
+def _suspect(rel: str, parsed: bool) -> Callable[[Column], Column]:
+    """Whether an edge may have an error."""
+    *_, kind_a, kind_b, _ = RELATIONS[rel]
+
+    def test(e: Column) -> Column:
+        found = F.lit(False)
+        for name, kind in (("src", kind_a), ("dst", kind_b)):
+            found = found | e[name].isNull() | F.coalesce(F.array_contains(f"lost_{kind}", e[name]), F.lit(False))
+        return found | ~(e["is_object"] & e["src_text"] & e["dst_text"]) if parsed else found
+
+    return test
+
+
+def row_errors(docs: DataFrame, cardinality: bool = True, folds: int = 5, parsed: bool = False) -> DataFrame:
+    """``docs`` with two more columns, ``schema`` and ``shacl``: the errors (stage, item, message) of the same rules over whole
+    documents as rows (an array of nodes for each kind, one of edges for each relation: ``generate.run_documents``, or
+    with parsed ``documents.to_rows``). Sets of ids are compared within a row; nothing is shuffled, and messages
+    are only made where the sets differ."""
+    c, of = F.col, lambda names: [c(n) for n in names]
+    error = lambda stage, item, message: F.struct(F.lit(stage).alias("stage"), item.alias("item"), message.alias("message"))
+    none = F.array().cast("array<struct<stage: int, item: string, message: string>>")
+    unless = lambda good, errors: F.when(good, none).otherwise(errors)
+    ids = {k: c(k)["node_id"] for k in KINDS}
+    refs: dict[str, list[Column]] = {k: [] for k in KINDS}
+    for rel, (_, _, a, b, _) in RELATIONS.items():
+        refs[a].append(c(rel)["src"])
+        refs[b].append(c(rel)["dst"])
+    objects = (lambda block: F.filter(block, lambda e: e["is_object"])) if parsed else (lambda block: block)
+    agents, acts = F.array_compact(objects(c("agent"))["node_id"]), F.array_distinct(objects(c("activity"))["node_id"])
+    added = {f"lost_{k}": F.array_except(F.concat(*refs[k]), F.array_compact(ids[k])) for k in KINDS}
+    added |= {
+        "lonely": F.array_except(acts, F.array_compact(objects(c("wasAssociatedWith"))["src"])),
+        "wrong": F.array_except(objects(c("wasAssociatedWith"))["dst"], agents),
+    }
+    found = docs.withColumns(added)
+
+    said = [x for i, k in enumerate(KINDS) for x in _element_rows(i + 1, k, error, parsed)]
+    for i, (rel, (*_, kind_a, kind_b, _)) in enumerate(RELATIONS.items()):
+        good = (F.size(f"lost_{kind_a}") == 0) & (F.size(f"lost_{kind_b}") == 0)
+        if parsed:
+            good &= ~F.exists(rel, lambda e: ~(e["is_object"] & e["src_text"] & e["dst_text"]))
+        suspects = F.filter(rel, _suspect(rel, parsed))
+        said.append(unless(good, F.array_compact(F.flatten(F.transform(suspects, _relation_rows(i + 1, rel, error, parsed))))))
+    alone = F.transform("lonely", lambda n: error(0, n, _say("Activity has no prov:wasAssociatedWith agent: %s", n)))
+    not_agent = lambda e: F.coalesce(F.array_contains(acts, e["src"]), F.lit(False)) & ~F.coalesce(F.array_contains(agents, e["dst"]), F.lit(False))
+    pairs = F.array_distinct(F.transform(F.filter(objects(c("wasAssociatedWith")), not_agent), lambda e: F.struct(e["src"], e["dst"])))
+    to = lambda e: error(1, F.concat_ws("|", e["src"], e["dst"]), _say("Value of prov:wasAssociatedWith is not a prov:Agent: %s -> %s", e["src"], e["dst"]))
+    shacl = F.concat(alone, unless(F.size("wrong") == 0, F.transform(pairs, to)))
+    found = found.select(*of(docs.columns), F.concat(*said).alias("said"), shacl.alias("shacl"))
+
+    if cardinality:
+        size = {k: F.size(F.array_distinct(ids[k])) for k in KINDS}
+        got = {"nodes": sum(size.values(), F.lit(0)), "edges": sum((F.size(r) for r in RELATIONS), F.lit(0))} | dict(zip(("entities", "activities", "agents"), size.values(), strict=True))
+        tests = [F.when(got[k] != w, error(5, F.lit(str(i)), F.concat(F.lit(f"{k}="), got[k].cast("string"), F.lit(f", expected {w}")))) for i, (k, w) in enumerate(expected_counts(folds).items())]
+        schema = F.when(F.size("said") == 0, F.array_compact(F.array(*tests))).otherwise(F.col("said"))
+    else:
+        schema = F.col("said")
+    return found.select(*of(docs.columns), schema.alias("schema"), "shacl")
+
+
 def block_errors(parsed: DataFrame) -> DataFrame:
     """What isn't an object at all, lacks a prefix, or has a block of the wrong kind."""
     doc, prefix = F.col("doc"), D.block_of(F.col("doc"), F.lit("prefix"))
