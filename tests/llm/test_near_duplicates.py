@@ -256,3 +256,13 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert last(spark, docs, where).groupBy("doc_id").count().count() == len({i for i, *_ in rows + odd})
     for stage in (first, second, third, fourth, last):
         assert stage(spark, docs.limit(0), where).count() == 0
+
+
+def test_nn_descent_counts_links_alike_in_small_and_large_components(spark):
+    angles = np.arange(120) * 0.2  # each links with the two before and the two after, cos(0.4) = 0.92
+    x = np.stack([np.cos(angles / 4), np.sin(angles / 4)], 1)[:100]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = nndescent.linked(x, x, 0.995).sum(1) - 1
+    for block_rows in (8, 4096):  # poor lists, so that a count from them would miss links
+        found = nndescent.near_duplicates(df, 0.995, neighbours=40, tables=1, cell_rows=8, max_rounds=0, block_rows=block_rows, least_recall=0.0)
+        assert [r["n_links"] for r in found.orderBy("vec_id").collect()] == want.tolist()

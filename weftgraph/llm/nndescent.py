@@ -6,8 +6,7 @@ until few entries change. Edges over the threshold give components. A list whose
 the threshold is saturated: it can't hold all links. The lists of such vectors are enlarged to twice the length
 and descend again, spent on neighbours from other components only, and so on until no list is
 saturated; a link with any other vector is in that vector's list. The links inside a component are counted by
-exact double-precision cosine, in pairs of blocks: in components of up to ``block_rows`` of all members, in larger
-ones of the saturated vectors with all, while the lists of the others hold their links. A bounded set of audit queries is
+exact double-precision cosine of all its members, in pairs of blocks, whatever its size. A bounded set of audit queries is
 compared with all vectors in blocks; links that the graph missed are added, and below ``recall`` more cells and
 rounds follow. A recall that stays under ``least_recall`` is an error.
 """
@@ -332,29 +331,22 @@ def near_duplicates(
     if not n:
         return raw.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(None).cast("double").alias("audit_recall"))
 
-    marked = labelled.join(saturated.withColumn("full", F.lit(True)), "id", "left").withColumn("full", F.coalesce("full", F.lit(False)))
-    marked = materialise(marked, "marked")
-    sizes = marked.groupBy("component").agg(F.count("*").alias("m"), F.count_if("full").alias("k")).where("m > 1")
-    whole = F.col("m") <= block_rows  # all its members ask; they are dealt to a few tasks all the same
-    blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.least(F.lit(8), F.ceil(F.col("m") / 128)))
-    asking = F.when(whole, blocks).otherwise(F.ceil(F.col("k") / block_rows))  # blocks of members that ask: none, if no list is full
-    sizes = materialise(sizes.select("component", "m", blocks.cast("int").alias("blocks"), asking.cast("int").alias("asking")), "sizes")
-    members = join_counted(marked, sizes, "component", "m", n).withColumn("asks", F.col("full") | whole)
-    members = materialise(members.select("component", "blocks", "asking", "asks", "id", "copies", "unit"), "members")
-    of = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    active = members.where("asking > 0")
-    asking = active.where("asks").withColumn("block", of("asking")).withColumn("block2", each("blocks"))
-    asked = active.withColumn("block2", of("blocks")).withColumn("block", each("asking")).withColumn("asks", F.lit(False))
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.least(F.lit(8), F.ceil(F.col("m") / 128)))  # dealt to a few tasks in any case
+    sizes = materialise(sizes.select("component", "m", blocks.cast("int").alias("blocks")), "sizes")
+    members = join_counted(labelled, sizes, "component", "m", n)
+    members = materialise(members.select("component", "blocks", "id", "copies", "unit"), "members")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = members.withColumn("asks", F.lit(True)).withColumn("block", own).withColumn("block2", each)
+    asked = members.withColumn("asks", F.lit(False)).withColumn("block2", own).withColumn("block", each)
     keep = ["component", "block", "block2", "asks", "id", "copies", "unit"]
     spread = asking.select(*keep).unionByName(asked.select(*keep)).repartition("component", "block", "block2").sortWithinPartitions("component", "block", "block2")
     counted = spread.mapInArrow(_degrees(threshold), "id long, n long")
-    ends = links.distinct().select("a", "b").union(links.distinct().select("b", "a")).toDF("id", "to")
-    quiet = members.where("not asks").select("id").join(ends, "id").join(members.select(F.col("id").alias("to"), "copies"), "to")
-    degrees = counted.unionByName(quiet.select("id", F.col("copies").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
+    degrees = counted.groupBy("id").agg(F.sum("n").alias("n"))
     named = labelled.join(degrees, "id", "left").select("unit", "component", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
     named = materialise(named, "named")
-    release(sizes, members, marked)
+    release(sizes, members)
     found = join_counted(valid.select("vec_id", "unit"), named, "unit", "copies", raw.count()).select("vec_id", "n", "component")
     alone = raw.where("unit is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     kept = F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False))
