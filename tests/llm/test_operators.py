@@ -414,3 +414,18 @@ def test_held_out_rows(spark):
     got = spark.range(50).select("id", language.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in got)
     assert pytest.approx(1 / 3, abs=0.2) == sum(r["h"] for r in got) / 50
+
+
+def test_sharding_places_records_without_python(spark):
+    bounds = sorted((random.Random(i).getrandbits(64) - (1 << 63), i) for i in range(37))
+    bounds = sorted({*bounds, (bounds[5][0], -(1 << 63)), (bounds[5][0], 99)})
+    rows = [*bounds, (-(1 << 63), 0), ((1 << 63) - 1, 0), (bounds[5][0], 98)]
+    found = spark.createDataFrame(rows, "h long, d long").select("h", "d", sharding._range(bounds).alias("n"))
+    assert all(r["n"] == sum(b <= (r["h"], r["d"]) for b in bounds) for r in found.collect())
+    layout = sharding.arrange(1000, 8, [(7, 400), (9, 150)])
+    places = spark.range(-1, 1000).select(F.col("id").cast("double").alias("p"), sharding._shard(layout, F.col("id").cast("double")).alias("s"))
+    for r in places.collect():
+        assert r["s"] == layout.shard[max(0, int((layout.begin <= r["p"]).sum()) - 1)]
+    docs = spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")
+    plan = sharding.shard(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and sharding.shard(docs).select("shard").distinct().count() == 8

@@ -12,12 +12,10 @@ divided. The other groups then fill the room that is left, in the order of the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.storage import materialise, release
@@ -72,31 +70,29 @@ def _draw(meta: DataFrame, wanted: float, weight: float, seed: int) -> list[tupl
     return sorted((r.h, r.d) for r in rows)
 
 
-def _range_udf(splitters: list[tuple[int, int]]):
-    """The number of splitters (h, d) at or below a record."""
-    hs = np.array([s[0] for s in splitters], np.int64)
-    ds = np.array([s[1] for s in splitters], np.int64)
+def _at_or_below(bounds: list[str], value: Column) -> Column:
+    """How many of the sorted ``bounds`` (SQL literals) are at or below a value: a binary search in the JVM, as Python
+    workers would take more of an executor's memory than the rows do."""
+    n = len(bounds)
+    if not n:
+        return F.lit(0)
+    known, steps = F.expr(f"array({', '.join(bounds)})"), [1 << i for i in reversed(range(n.bit_length()))]
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= n) & (F.get(known, at + by - 1) <= value), at + by).otherwise(at)
 
-    @F.pandas_udf("int")
-    def number(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for h, d in it:
-            h, d = h.to_numpy(), d.to_numpy()
-            lo, out = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
-            for i in np.unique(lo[out - lo > 1]):  # the hashes of several splitters: d decides
-                rows = np.flatnonzero((lo == i) & (out > i))
-                out[rows] = i + np.searchsorted(ds[i : out[rows[0]]], d[rows], "right")
-            yield pd.Series(out.astype(np.int32))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
-    return number
 
+def _range(splitters: list[tuple[int, int]]) -> Column:
+    """The number of splitters (h, d) at or below a record."""
+    return _at_or_below([f"named_struct('h', {h}L, 'd', {d}L)" for h, d in splitters], F.struct("h", "d"))
 
-def _shard_udf(layout: Layout):
-    @F.pandas_udf("int")
-    def number(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for place in it:
-            yield pd.Series(layout.shard[np.maximum(0, np.searchsorted(layout.begin, place.to_numpy(), "right") - 1)])
 
-    return number
+def _shard(layout: Layout, place: Column) -> Column:
+    """The shard of a place of the scale."""
+    piece = _at_or_below([f"CAST('{float(b)!r}' AS DOUBLE)" for b in layout.begin], place)
+    return F.get(F.expr(f"array({', '.join(str(int(s)) for s in layout.shard)})"), F.greatest(piece - 1, F.lit(0)))
 
 
 def _cut(meta: DataFrame, large: list[int], ranges: int, samples_per_range: int, seed: int) -> tuple[DataFrame, list[int | None]]:
@@ -108,8 +104,9 @@ def _cut(meta: DataFrame, large: list[int], ranges: int, samples_per_range: int,
     for again in range(_MAX_CUTS):
         picked = {sample[len(sample) * i // ranges] for i in range(1, ranges)} if sample else set()
         splitters = sorted({*splitters, *((h, d if h in whole else _LEAST) for h, d in picked)})
-        placed = meta.withColumn("range", _range_udf(splitters)("h", "d") if splitters else F.lit(0))
-        filled = placed.groupBy("range").agg(F.sum("weight").alias("w")).where(F.col("w") > 4 / ranges).collect()
+        placed = meta.withColumn("range", _range(splitters))
+        filled = placed.groupBy("range").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+        filled = filled.where((F.col("w") > 4 / ranges) & (F.col("n") > 1)).collect()  # a record can't be divided
         if not filled:
             break
         over = sum(r["w"] for r in filled)
@@ -164,7 +161,7 @@ def shard(
     same = Window.partitionBy("range", "h")
     scale = placed.join(base, "range").withColumn("begin", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     inside = F.when(F.col("large"), F.col("begin") + F.col("size") / 2).otherwise(F.min("begin").over(same) + F.sum("size").over(same) / 2)
-    scale = scale.withColumn("shard", _shard_udf(layout)(F.col("base") + inside))
+    scale = scale.withColumn("shard", _shard(layout, F.col("base") + inside))
     scale = materialise(scale.select("doc_id", "size", "text_crc32", "h", "d", "range", "shard"), "sharded")
     release(meta, placed)
 
