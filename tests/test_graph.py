@@ -253,3 +253,12 @@ def test_rules_of_the_graph_queries_shuffle_no_edges(spark):
     for query in (queries.conformance_report, queries.validate_schema_errors):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join") <= 2 and "LeftAnti" not in plan  # the broadcast grid, once in each branch
+
+
+def test_predicates_count_distinct_triples_of_shared_and_own_nodes(spark):
+    one = runs(spark, n=3)
+    more = one.withColumn("run_id", F.concat(F.lit("again"), "task_id")).withColumn("model", F.lit("KNN"))
+    all_runs = one.unionByName(more).unionByName(one.where("task_id = 1"))  # shared datasets, and a run twice
+    want = patterns.triples(*documents.tables_of(generate.run_documents(all_runs, 2, ENV, "json"))).groupBy("p").count()
+    docs = generate.run_documents(all_runs, 2, ENV, "plain")
+    assert sorted(map(tuple, patterns.predicate_counts(docs).collect())) == sorted(map(tuple, want.collect()))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.model import KINDS, RELATIONS
+
 TYPE = "rdf:type"
 
 
@@ -30,6 +32,51 @@ def triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(e).distinct()
 
 
+def predicate_counts(docs: DataFrame) -> DataFrame:
+    """p, n: distinct triples by predicate of whole documents as rows (``generate.run_documents`` with plain attributes).
+
+    A subject whose id holds the doc_id is in that document alone if no doc_id is a part of another id (doc_ids are
+    unique, 32 hexadecimal digits, and ids join them by other characters): its triples are made distinct in
+    the row. Only triples of the other subjects, which documents share, are shuffled.
+    """
+    own = lambda s: F.contains(s, F.col("doc_id"))
+    triple = lambda s, p, o, iri: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(iri).alias("o_is_iri"))
+    alone = F.col("copies") == 1
+
+    def of_node(kind: str):
+        def said(n):
+            named = lambda e: triple(n["node_id"], F.when(e["key"] == "prov:type", TYPE).otherwise(e["key"]), e["value"], False)
+            return F.concat(F.transform(n["attrs"], named), F.array(triple(n["node_id"], F.lit(TYPE), F.lit(f"prov:{kind.capitalize()}"), True)))
+
+        return said
+
+    def of_edge(rel: str):
+        return lambda e: triple(e["src"], F.lit(f"prov:{rel}"), e["dst"], True)
+
+    def is_own(name: str):
+        return lambda x: alone & F.coalesce(own(x[name]), F.lit(False))
+
+    def is_shared(name: str):
+        return lambda x: ~(alone & F.coalesce(own(x[name]), F.lit(False)))
+
+    def of_kind(kind: str, test) -> Column:
+        return F.flatten(F.transform(F.filter(kind, test("node_id")), of_node(kind)))
+
+    def of_rel(rel: str, test) -> Column:
+        return F.transform(F.filter(rel, test("src")), of_edge(rel))
+
+    # In a document no two blocks share a triple: kinds differ in ids or types, relations in predicates. Nodes that
+    # repeat an id are left to the shuffle.
+    ids = F.concat(*[F.col(k)["node_id"] for k in KINDS])
+    docs = docs.withColumn("copies", F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.col("copies")).otherwise(F.lit(2)))
+    own_nodes = [F.transform(of_kind(k, is_own), lambda t: t["p"]) for k in KINDS]
+    text = lambda t: F.concat_ws("\x1f", t["s"], t["o"])
+    own_edges = [F.array_repeat(F.lit(f"prov:{r}"), F.size(F.array_distinct(F.transform(of_rel(r, is_own), text)))) for r in RELATIONS]
+    local = docs.select(F.explode(F.concat(*own_nodes, *own_edges)).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    shared = docs.select(F.inline(F.concat(*[of_kind(k, is_shared) for k in KINDS], *[of_rel(r, is_shared) for r in RELATIONS]))).distinct()
+    return local.unionByName(shared.groupBy("p").agg(F.count("*").alias("n"))).groupBy("p").agg(F.sum("n").alias("n"))
+
+
 def match(graph: DataFrame, *patterns: tuple[str, str, str], where: dict[str, str] | None = None) -> DataFrame:
     """Solutions of a basic graph pattern: terms that begin with ? are variables, others constants; patterns that share
     variables are joined on them. ``where`` fixes the text of variables. Distinct triples give a bag of solutions. A
