@@ -262,3 +262,41 @@ def test_predicates_count_distinct_triples_of_shared_and_own_nodes(spark):
     want = patterns.triples(*documents.tables_of(generate.run_documents(all_runs, 2, ENV, "json"))).groupBy("p").count()
     docs = generate.run_documents(all_runs, 2, ENV, "plain")
     assert sorted(map(tuple, patterns.predicate_counts(docs).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_json_of_rows_is_that_of_tables(spark):
+    some = runs(spark, n=3)
+    docs = generate.run_documents(some.unionByName(some.where("task_id = 2")), 2, ENV, "json")
+    odd = F.transform("agent", lambda n: F.struct(F.lit('ag:"\\ü\n').alias("node_id"), n["ptype"].alias("ptype"), n["attrs"].alias("attrs")))
+    docs = docs.withColumn("agent", F.when(F.col("doc_id") == "run1", odd).otherwise(F.col("agent"))).persist()
+    got = dict(documents.with_json(docs).select("doc_id", "json").collect())
+    assert got == dict(documents.to_documents(*documents.tables_of(docs)).select("doc_id", "json").collect()) and len(got) == 3
+    assert 'ag:"\\ü\n' in json.loads(got["run1"])["agent"]
+
+
+def test_round_trip_of_rows_is_that_of_tables(spark):
+    some = runs(spark, n=3)
+    docs = generate.run_documents(some.unionByName(some.where("task_id = 2")), 2, ENV, "json")
+    said = F.transform("agent", lambda n: F.struct(n["node_id"].alias("node_id"), n["ptype"].alias("ptype"), F.create_map(F.lit("x"), F.lit("2.50"), F.lit("a"), F.lit("1e-05")).alias("attrs")))
+    docs = docs.withColumn("agent", F.when(F.col("doc_id") == "run1", said).otherwise(F.col("agent"))).persist()
+    got = sorted(map(tuple, validate.round_trip_rows(docs).select("doc_id", "only_first", "only_second").collect()))
+    assert got == sorted(map(tuple, validate.round_trip_diff(*documents.tables_of(docs)).collect()))
+    assert got == [("run0", 0, 0), ("run1", 0, 0), ("run2", 23 + 56, 0)]  # a document can't say a run's parts twice
+
+
+def test_blocks_that_are_null_or_no_objects(spark):
+    null = small()
+    null["used"] = None
+    null["wasInformedBy"] = 3
+    kinds = small() | {"prefix": None, "agent": None, "entity": "x"}
+    kinds["used"]["_:u2"] = None
+    first, second, none = outcomes(spark, [null, kinds, "[]"], ("schema",))
+    assert first["schema"] == ["relation block 'used' not an object", "relation block 'wasInformedBy' not an object"]
+    assert second["schema"][:3] == ["missing or malformed 'prefix' block", "missing or malformed 'entity' block", "missing or malformed 'agent' block"]
+    assert "used '_:u2' not an object" in second["schema"] and none["schema"] == ["document is not a JSON object"]
+
+
+def test_validator_joins_nothing(spark):
+    docs = spark.createDataFrame([("d", json.dumps(small()))], "doc_id string, json string")
+    plan = validate.validate(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

@@ -13,8 +13,9 @@ from weftgraph.model import KINDS, PREFIXES, RELATIONS
 
 
 def _object(entries: Column) -> Column:
-    """A JSON object from an array of (key, literal)."""
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+    """A JSON object from an array of (key, literal). Keys without anything to escape are only put in quotes."""
+    quoted = lambda k: F.when(F.rlike(k, F.lit(r"^[ !#-\[\]-~]*\z")), F.concat(F.lit('"'), k, F.lit('"'))).otherwise(json_string(k))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
 
 
 def literal(value: Column) -> Column:
@@ -68,6 +69,25 @@ def to_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped(statements(nodes, edges).drop("statement"))
 
 
+def with_json(rows: DataFrame) -> DataFrame:
+    """Whole documents as rows, whose nodes have attributes (``generate.run_documents``), with one more column ``json``: compact
+    JSON as ``to_documents`` makes it, without a shuffle. Of parts that repeat block and key one stays."""
+    parts = {}
+    for b in KINDS:
+        parts[f"parts_{b}"] = F.transform(b, lambda n: F.struct(n["node_id"].alias("key"), _object(F.map_entries(n["attrs"])).alias("value")))
+    for b, (x, y, *_) in RELATIONS.items():
+        value = lambda e: F.struct(e["src"].alias(x), e["dst"].alias(y), F.nullif(e["role"], F.lit("")).alias("prov:role"))
+        there = F.filter(b, lambda e: e["edge_id"].isNotNull() & e["src"].isNotNull() & e["dst"].isNotNull())
+        parts[f"parts_{b}"] = F.transform(there, lambda e: F.struct(e["edge_id"].alias("key"), value(e).alias("value")))
+    found = rows.select("*", *[F.sort_array(p).alias(name) for name, p in parts.items()])
+    text = [F.lit(f'{{"prefix":{json.dumps(PREFIXES, separators=(",", ":"))}')]
+    for b in (*KINDS, *RELATIONS):
+        all_parts = F.col(f"parts_{b}")
+        single = F.filter(all_parts, lambda p, i: ~p["key"].eqNullSafe(F.get(all_parts, i + 1)["key"]))
+        text += [F.lit(f',"{b}":'), _object(single) if b in KINDS else F.to_json(F.map_from_entries(single), {"ignoreNullFields": "true"})]
+    return found.select(*rows.columns, F.concat(*text, F.lit("}")).alias("json"))
+
+
 def tables_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of whole documents as rows, whose nodes have attributes."""
     tagged = lambda n, name: F.transform(n, lambda e: F.struct(F.lit(n).alias(name), e.alias("e")))
@@ -107,6 +127,48 @@ def _entries(parsed: DataFrame, names: Iterable[str]) -> DataFrame:
     return parsed.select("doc_id", F.inline(F.flatten(F.transform(blocks(names), inside))))
 
 
+def with_rows(parsed: DataFrame, attrs: bool = False) -> DataFrame:
+    """``parsed`` documents (doc_id, doc) as rows, in one pass without a shuffle: an array of elements (node_id, is_object, has_type
+    [, attrs]) for each kind and one of edges (edge_id, is_object, src, src_text, dst, dst_text, role) for each relation, as ``elements`` and
+    ``relations`` have them, and ``lacking``: the blocks that are missing or no objects, with whether they are there."""
+    at = lambda n, kind: F.try_variant_get("doc", f"$['{n}']", kind)
+    inner = {k: "map<string,variant>" for k in KINDS} | {r: f"struct<`{a}`:variant,`{b}`:variant,`prov:role`:variant>" for r, (a, b, *_) in RELATIONS.items()}
+    maps = [at(n, f"map<string,{kind}>").alias(f"in_{n}") for n, kind in inner.items()]
+    found = parsed.select("*", at("prefix", "map<string,variant>").alias("prefix"), *maps)
+    named = lambda **cols: F.struct(*[c.alias(k) for k, c in cols.items()])
+    sorted_attrs = lambda m: F.map_from_entries(F.sort_array(F.map_entries(F.transform_values(m, lambda _, v: literal(v)))))
+
+    def element(e: Column) -> Column:
+        more = {"attrs": sorted_attrs(e["value"])} if attrs else {}
+        return named(node_id=e["key"], is_object=e["value"].isNotNull(), has_type=F.coalesce(F.map_contains_key(e["value"], "prov:type"), F.lit(False)), **more)
+
+    def edge(a: str, b: str) -> tuple:
+        is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+        string = lambda v: F.try_variant_get(v, "$", "string")
+        plain = lambda v, text: F.when(text, string(v)).when(F.is_variant_null(v), "None").otherwise(F.to_json(v))
+        read = lambda e: named(key=e["key"], m=e["value"], src_text=is_text(e["value"][a]), dst_text=is_text(e["value"][b]))
+        made = lambda e: named(
+            edge_id=e["key"], is_object=e["m"].isNotNull(), src=plain(e["m"][a], e["src_text"]), src_text=e["src_text"],
+            dst=plain(e["m"][b], e["dst_text"]), dst_text=e["dst_text"], role=string(e["m"]["prov:role"]),
+        )
+        return read, made
+
+    rows = []
+    for n in inner:
+        entries = F.map_entries(f"in_{n}")
+        if n in KINDS:
+            array, empty = F.transform(entries, element), f"array<struct<node_id:string,is_object:boolean,has_type:boolean{',attrs:map<string,string>' if attrs else ''}>>"
+        else:
+            read, made = edge(*RELATIONS[n][:2])
+            array = F.transform(F.transform(entries, read), made)
+            empty = "array<struct<edge_id:string,is_object:boolean,src:string,src_text:boolean,dst:string,dst_text:boolean,role:string>>"
+        rows.append(F.coalesce(array, F.array().cast(empty)).alias(n))
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"in_{n}").isNull(), named(block=F.lit(n), there=at(n, "variant").isNotNull())) for n in inner]))
+    # a whole copy of the document is only made where no block tells that it is an object
+    is_object = F.coalesce(*[F.col(f"in_{n}").isNotNull() | F.lit(None) for n in inner], members(F.col("doc")).isNotNull())
+    return found.select(*parsed.columns, "prefix", is_object.alias("is_object"), lacking.alias("lacking"), *rows)
+
+
 def elements(parsed: DataFrame) -> DataFrame:
     """doc_id, kind, node_id, is_object, has_type, ptype, attrs (JSON literals): every declared element."""
     rows = _entries(parsed, KINDS).withColumn("m", members(F.col("value")))

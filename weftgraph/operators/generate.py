@@ -92,7 +92,7 @@ def _node(kind: str, node_id: Column, ptype: str, label: Column | None, *pairs)
 
 
 def _id(prefix: str, *parts: Column | str) -> Column:
-    return F.concat(F.lit(prefix), *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.concat(F.lit(prefix), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
 def _times(start: Column, end: Column) -> list[tuple]:
@@ -272,7 +272,9 @@ def run_documents(runs: DataFrame, folds: int = 5, environment: dict[str, str] |
     """
     c = F.col
     key = Window.partitionBy("run_id")
-    runs = runs.repartition("run_id").withColumn("copies", F.count("*").over(key))
+    # A run is a short row that becomes a long one, so that its bytes mustn't decide; each task generates the code anew.
+    parts = 2 * runs.sparkSession.sparkContext.defaultParallelism
+    runs = runs.repartition(parts, "run_id").withColumn("copies", F.count("*").over(key))
     values: dict[str, Column] = {}
     if attrs:
         base = F.coalesce(c("base_score"), F.lit(0.75))

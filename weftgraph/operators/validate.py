@@ -160,7 +160,7 @@ def _suspect(rel: str, parsed: bool) -> Callable[[Column], Column]:
 def row_errors(docs: DataFrame, cardinality: bool = True, folds: int = 5, parsed: bool = False) -> DataFrame:
     """``docs`` with two more columns, ``schema`` and ``shacl``: the errors (stage, item, message) of the same rules over whole
     documents as rows (an array of nodes for each kind, one of edges for each relation: ``generate.run_documents``, or
-    with parsed ``documents.to_rows``). Sets of ids are compared within a row; nothing is shuffled, and messages
+    with parsed ``documents.with_rows``, whose malformed blocks are errors too). Sets of ids are compared within a row; nothing is shuffled, and messages
     are only made where the sets differ."""
     c, of = F.col, lambda names: [c(n) for n in names]
     error = lambda stage, item, message: F.struct(F.lit(stage).alias("stage"), item.alias("item"), message.alias("message"))
@@ -180,7 +180,8 @@ def row_errors(docs: DataFrame, cardinality: bool = True, folds: int = 5, parsed
     }
     found = docs.withColumns(added)
 
-    said = [x for i, k in enumerate(KINDS) for x in _element_rows(i + 1, k, error, parsed)]
+    said = [block_errors()] if parsed else []
+    said += [x for i, k in enumerate(KINDS) for x in _element_rows(i + 1, k, error, parsed)]
     for i, (rel, (*_, kind_a, kind_b, _)) in enumerate(RELATIONS.items()):
         good = (F.size(f"lost_{kind_a}") == 0) & (F.size(f"lost_{kind_b}") == 0)
         if parsed:
@@ -204,54 +205,64 @@ def row_errors(docs: DataFrame, cardinality: bool = True, folds: int = 5, parsed
     return found.select(*of(docs.columns), schema.alias("schema"), "shacl")
 
 
-def block_errors(parsed: DataFrame) -> DataFrame:
-    """What isn't an object at all, lacks a prefix, or has a block of the wrong kind."""
-    doc, prefix = F.col("doc"), D.block_of(F.col("doc"), F.lit("prefix"))
+def block_errors() -> Column:
+    """What isn't an object at all, lacks a prefix, or has a block of the wrong kind, of rows of ``documents.with_rows``."""
     error = lambda stage, item, text: F.struct(F.lit(stage).alias("stage"), item.cast("string").alias("item"), text.alias("message"))
-    every = lambda names, wrong, make: F.filter(F.transform(F.array(*map(F.lit, names)), lambda n, i: F.when(wrong(n), make(n, i))), lambda e: e.isNotNull())
-    lost = every(REQUIRED_PREFIXES, lambda n: ~F.map_contains_key(prefix, n), lambda n, i: error(1, i, F.concat(F.lit("missing required prefix '"), n, F.lit("'"))))
-    prefixes = F.when(prefix.isNull(), F.array(error(1, F.lit(0), F.lit("missing or malformed 'prefix' block")))).otherwise(lost)
-    kinds = every(KINDS, lambda n: D.block_of(doc, n).isNull(), lambda n, i: error(2, i, F.concat(F.lit("missing or malformed '"), n, F.lit("' block"))))
-    there = lambda n: F.map_contains_key(D.members(doc), n) & D.block_of(doc, n).isNull()
-    relations = every(RELATIONS, there, lambda n, i: error(4, i + 1, F.concat(F.lit("relation block '"), n, F.lit("' not an object"))))
-    none = F.array(error(0, F.lit(""), F.lit("document is not a JSON object")))
-    return parsed.select("doc_id", F.inline(F.when(D.members(doc).isNull(), none).otherwise(F.concat(prefixes, kinds, relations))))
+    lost = F.array_compact(F.array(*[F.when(~F.map_contains_key("prefix", n), error(1, F.lit(i), F.lit(f"missing required prefix '{n}'"))) for i, n in enumerate(REQUIRED_PREFIXES)]))
+    prefixes = F.when(F.col("prefix").isNull(), F.array(error(1, F.lit(0), F.lit("missing or malformed 'prefix' block")))).otherwise(lost)
+    names = F.array(*map(F.lit, KINDS)), F.array(*map(F.lit, RELATIONS))
+    number = lambda e: [(F.array_position(n, e["block"]) - 1).cast("int") for n in names]
 
+    def malformed(e: Column) -> Column:
+        kind, rel = number(e)
+        missing = error(2, kind, F.concat(F.lit("missing or malformed '"), e["block"], F.lit("' block")))
+        wrong = error(4, rel + 1, F.concat(F.lit("relation block '"), e["block"], F.lit("' not an object")))
+        return F.when(kind >= 0, missing).when(e["there"], wrong)
 
-def document_errors(parsed: DataFrame, cardinality: bool = True, folds: int = 5) -> DataFrame:
-    """Errors of structure and reference of documents (doc_id, doc). A malformed block is reported and the other rules
-    still run; cardinality is for documents without any error."""
-    elements, relations = D.elements(parsed), D.relations(parsed)
-    out = block_errors(parsed).unionByName(element_errors(elements)).unionByName(relation_errors(relations, elements))
-    if not cardinality:
-        return out
-    size = lambda n: F.coalesce(F.size(F.map_keys(D.block_of(F.col("doc"), n))), F.lit(0)).cast("long")
-    total = lambda names: F.aggregate(F.array(*map(F.lit, names)), F.lit(0).cast("long"), lambda n, name: n + size(name))
-    counts = {"nodes": total(KINDS), "edges": total(RELATIONS)} | {n: size(F.lit(k)) for n, k in (("entities", "entity"), ("activities", "activity"), ("agents", "agent"))}
-    stats = parsed.select("doc_id", *[c.alias(k) for k, c in counts.items()])
-    return out.unionByName(cardinality_errors(stats, out, folds))
+    none = F.array(error(0, F.lit(""), F.lit("document is not a JSON object")))
+    return F.when(F.col("is_object"), F.concat(prefixes, F.array_compact(F.transform("lacking", malformed)))).otherwise(none)
 
 
 def round_trip_diff(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, only_first, only_second: statements that differ after tables -> JSON -> tables, as multisets. Each document
     is compared as a row: the statements are shuffled once, with the document's own parts."""
-    first = F.array_sort(F.collect_list("statement")).alias("first")
-    docs = D.grouped(D.statements(nodes, edges), first)
-    parsed = docs.select("doc_id", "first", F.try_parse_json("json").alias("doc"))
-    attrs = lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(m, lambda _, x: D.literal(x))))))
-    text = lambda m, k: F.try_element_at(m, k).cast("string")
-
-    def said(s: Column) -> Column:
-        node = lambda e: F.concat_ws("\x1f", s["block"], e["key"], attrs(D.members(e["value"])))
-        ends = lambda m: F.concat_ws("\x1f", s["block"], text(m, s["a"]), text(m, s["b"]), F.coalesce(text(m, F.lit("prov:role")), F.lit("")))
-        inside = F.map_entries(D.block_of(F.col("doc"), s["block"]))
-        return F.coalesce(F.transform(inside, lambda e: F.when(s["a"].isNull(), node(e)).otherwise(ends(D.members(e["value"])))), F.array().cast("array<string>"))
-
-    again = F.flatten(F.transform(D.blocks([*KINDS, *RELATIONS]), said))
-    both = parsed.select("doc_id", "first", F.array_sort(again).alias("second"))
+    first = F.sort_array(F.collect_list("statement")).alias("first")
+    return _again(D.grouped(D.statements(nodes, edges), first)).select("doc_id", "only_first", "only_second")
+
+
+def round_trip_rows(docs: DataFrame) -> DataFrame:
+    """``docs``, whole documents as rows whose nodes have attributes, with only_first and only_second of ``round_trip_diff``: rows -> JSON -> rows,
+    without a shuffle. Literals are only put into one form where their texts differ as they are."""
+
+    def said(form: Callable[[Column], Column]) -> Column:
+        node = lambda k: lambda n: F.concat_ws("\x1f", F.lit(k), n["node_id"], F.to_json(form(n["attrs"])))
+        edge = lambda r: lambda e: F.concat_ws("\x1f", F.lit(r), e["src"], e["dst"], F.coalesce(e["role"], F.lit("")))
+        parts = [F.transform(k, node(k)) for k in KINDS] + [F.transform(r, edge(r)) for r in RELATIONS]
+        return F.sort_array(F.concat(*parts))
+
+    plain = said(lambda m: F.map_from_entries(F.sort_array(F.map_entries(m))))
+    found = D.with_json(docs).withColumn("plain", plain)
+    return _again(found, F.when(F.col("plain") == F.col("second"), F.col("plain")).otherwise(said(D.canonical))).select(*docs.columns, "only_first", "only_second")
+
+
+def _again(docs: DataFrame, first: Column | None = None) -> DataFrame:
+    """``docs`` with only_first and only_second: their statements (a sorted array ``first``) against those of their ``json``."""
+    attrs = lambda m: F.to_json(F.map_from_entries(F.sort_array(F.map_entries(F.transform_values(m, lambda _, x: D.literal(x))))))
+    parsed = docs.withColumn("doc", F.try_parse_json("json"))
+    none = F.array().cast("array<string>")
+    again = []
+    for b in KINDS:
+        inside = F.map_entries(F.try_variant_get("doc", f"$['{b}']", "map<string,map<string,variant>>"))
+        again.append(F.coalesce(F.transform(inside, lambda e: F.concat_ws("\x1f", F.lit(b), e["key"], attrs(e["value"]))), none))
+    for r, (x, y, *_) in RELATIONS.items():
+        inside = F.map_values(F.try_variant_get("doc", f"$['{r}']", f"map<string,struct<`{x}`:string,`{y}`:string,`prov:role`:string>>"))
+        again.append(F.coalesce(F.transform(inside, lambda m: F.concat_ws("\x1f", F.lit(r), m[x], m[y], F.coalesce(m["prov:role"], F.lit("")))), none))
+    both = parsed.withColumn("second", F.sort_array(F.concat(*again)))
+    if first is not None:
+        both = both.withColumn("first", first)
     numbered = lambda c: F.transform(c, lambda x, i: F.concat_ws("\x1f", x, (i - F.array_position(F.col(c), x)).cast("string")))
     lost = lambda a, b: F.when(F.col("first") == F.col("second"), 0).otherwise(F.size(F.array_except(numbered(a), numbered(b)))).cast("long")
-    return both.select("doc_id", lost("first", "second").alias("only_first"), lost("second", "first").alias("only_second"))
+    return both.select("*", lost("first", "second").alias("only_first"), lost("second", "first").alias("only_second"))
 
 
 def round_trip_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -267,30 +278,26 @@ def validate(documents: DataFrame, checks: Sequence[str] = CHECKS, cardinality:
     that the later checks could reject. summary has the first three messages of each failed check, or 'ok'.
     """
     docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "json")
-    parsed = D.parse(docs)
     names = check_names(checks)
-    run = {
-        "schema": lambda: document_errors(parsed, cardinality, folds),
-        "shacl": lambda: shacl_errors(*D.to_tables(parsed)),
-        "round_trip": lambda: round_trip_errors(*D.to_tables(parsed)),
-    }
-    found = docs.select("doc_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("stage"), F.lit(None).cast("string").alias("item"), F.lit(None).cast("string").alias("message"))
+    found = row_errors(D.with_rows(D.parse(docs), "round_trip" in names), cardinality, folds, parsed=True)
+    if "round_trip" in names:
+        found = found.withColumns({b: F.filter(b, lambda e: e["is_object"]) for b in (*KINDS, *RELATIONS)})
+        found = round_trip_rows(found)
+        differs = (F.col("only_first") > 0) | (F.col("only_second") > 0)
+        said = _say("RDF graphs not isomorphic: +%d/-%d triples", "only_first", "only_second")
+        one = F.struct(F.lit(0).alias("stage"), F.lit("").alias("item"), said.alias("message"))
+        found = found.withColumn("round_trip", F.array_compact(F.array(F.when(differs, one))))
+    sort = lambda name: F.transform(F.sort_array(name), lambda e: e["message"])
+    cut = lambda name, own: F.slice(own, 1, SHACL_MESSAGES) if name == "shacl" else own
+    found = found.select("doc_id", *[cut(name, sort(name)).alias(name) for name in names])
+    good, results, texts = F.lit(True), [], []
     for name in names:
-        found = found.unionByName(run[name]().withColumn("name", F.lit(name)).select(found.columns))
-    said = F.when(F.col("name").isNotNull(), F.struct("name", "stage", "item", "message"))
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(said)).alias("said"))
-    results, texts = [], []
-    of = lambda name: F.transform(F.filter("said", lambda e: e["name"] == name), lambda e: e["message"])
-    for name in names:
-        own = of(name)
-        own = F.slice(own, 1, SHACL_MESSAGES) if name == "shacl" else own
-        results.append(F.struct(F.lit(name).alias("name"), F.when(F.size(own) > 0, "fail").otherwise("pass").alias("status"), own.alias("errors")))
-        texts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(own, 1, 3), "; "))))
+        failed = F.size(name) > 0
+        good &= ~failed
+        results.append(F.struct(F.lit(name).alias("name"), F.when(failed, "fail").otherwise("pass").alias("status"), F.col(name).alias("errors")))
+        texts.append(F.when(failed, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(name, 1, 3), "; "))))
     empty = F.array().cast("array<struct<name: string, status: string, errors: array<string>>>")
-    return found.select(
-        "doc_id", (F.size("said") == 0).alias("valid"), (F.array(*results) if results else empty).alias("checks"),
-        F.when(F.size("said") == 0, "ok").otherwise(F.concat_ws(" | ", *texts)).alias("summary"),
-    )
+    return found.select("doc_id", good.alias("valid"), (F.array(*results) if results else empty).alias("checks"), F.when(good, "ok").otherwise(F.concat_ws(" | ", *texts)).alias("summary"))
 
 
 def gate(documents: DataFrame, outcomes: DataFrame, policy: str = "strict") -> DataFrame:
