@@ -219,3 +219,31 @@ def test_lzma_of_short_documents_has_the_size_of_preset_9_at_little_cost():
     for _ in range(100):
         compress._lzma(b"short")
     assert time.process_time() - begin < 1  # 4 s with the preset's dictionary
+
+
+def test_codecs_work_side_by_side_on_one_sorted_pass(spark, monkeypatch):
+    import random
+    import threading
+
+    rng = random.Random(3)
+    rows = [(i % 3, "".join(rng.choices("abcdefgh \n", k=rng.randrange(4000)))) for i in range(400)]
+    raw = "".join(t for _, t in sorted(rows)).encode()
+    df = spark.createDataFrame(sorted(rows, reverse=True), "doc_id long, text string")  # equal ids: by the content
+    found = compress.single_stream(df, "text", "doc_id")
+    got = {r["codec"]: r["compressed_bytes"] for r in found.collect()}
+    assert got == {"gzip": len(gzip.compress(raw, 9)), "bz2": len(bz2.compress(raw, 9)), "lzma": len(lzma.compress(raw, preset=9))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Union" not in plan
+
+    met = threading.Barrier(len(compress.CODECS))
+
+    class Meeting:
+        def compress(self, data):
+            met.wait(10)  # breaks unless all codecs are at work
+            return data
+
+        flush = bytes
+
+    monkeypatch.setattr(compress, "_compressor", lambda codec: (Meeting(), 0))
+    size = 2 * compress._PIECE + 5
+    assert [(r["codec"], r["n_files"], r["raw_bytes"], r["compressed_bytes"]) for r in compress._pack([[b"x" * size, b""], [b"y"]])] == [(c, 3, size + 1, size + 1) for c in compress.CODECS]
