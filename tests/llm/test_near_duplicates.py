@@ -266,3 +266,20 @@ def test_nn_descent_counts_links_alike_in_small_and_large_components(spark):
     for block_rows in (8, 4096):  # poor lists, so that a count from them would miss links
         found = nndescent.near_duplicates(df, 0.995, neighbours=40, tables=1, cell_rows=8, max_rounds=0, block_rows=block_rows, least_recall=0.0)
         assert [r["n_links"] for r in found.orderBy("vec_id").collect()] == want.tolist()
+
+
+def test_minhash_lists_of_many_clusters_in_blocks(spark):
+    """Clusters of near copies, half of whose shingles all documents have: lists longer than a block that don't hang together."""
+    rng = random.Random(11)
+    common, texts = [f"c{i}" for i in range(60)], []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(60)]
+        for _ in range(3):
+            own[rng.randrange(60)] = f"z{rng.random()}"
+            texts.append(" ".join(common + own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingle_set(t, 2) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for limits in ({}, {"list_limit": 16}):
+        out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, shingle=2, **limits).collect()}
+        assert [out[i] for i in range(len(texts))] == brute_components(len(texts), links)

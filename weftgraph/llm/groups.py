@@ -108,10 +108,14 @@ def _links_of(kernel: Kernel):
     return run
 
 
+#: Columns that linked_groups adds to its rows.
+_ADDED = {"label", "rest", "share", "own", "block", "chunk", "chunks", "component", "main", "in_main", "in_group"}
+
+
 def linked_groups(rows: DataFrame, kernel: Kernel, max_rounds: int = 4) -> DataFrame:
     """(node, component) by the links within groups: ``rows`` has group, id (long, once in a group), m (rows of the group),
     blocks (into how many its size cuts it) and what ``kernel`` needs. kernel(table) gives hits(x, others) for the
-    rows of a table. No link between the rows of a group is missed.
+    rows of a table, whose columns may have any name but those of _ADDED. No link between the rows of a group is missed.
 
     A group of one block is one task's work. The rows of a larger group meet within their block, and with hubs:
     about a block's worth of sampled rows that every block gets a copy of. That leaves few components in a group of
@@ -120,6 +124,8 @@ def linked_groups(rows: DataFrame, kernel: Kernel, max_rounds: int = 4) -> DataF
     down to a block meets all blocks of its group, in pieces. Rows of groups that hang together so are copied a
     few times at most, however large the group is.
     """
+    if taken := _ADDED.intersection(rows.columns):
+        raise ValueError(f"columns of linked_groups itself: {sorted(taken)}")
     blank = rows.withColumns({"label": F.col("id"), "rest": F.lit(True), "share": 1.0 / F.col("blocks")})
     payload = [c for c in rows.columns if c not in ("group", "id", "m", "blocks")]
 
@@ -147,12 +153,12 @@ def linked_groups(rows: DataFrame, kernel: Kernel, max_rounds: int = 4) -> DataF
         own = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         own = materialise(own, "state")
         sizes = own.groupBy("group", "label").agg(F.count("*").alias("k"))
-        sizes = sizes.groupBy("group").agg(F.max_by("label", "k").alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"))
-        sizes = materialise(sizes.where("k < n"), "open")  # of the groups that are cut into blocks
+        sizes = sizes.groupBy("group").agg(F.max_by("label", "k").alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("in_group"))
+        sizes = materialise(sizes.where("in_main < in_group"), "open")  # of the groups that are cut into blocks
         state = None
         if sizes.limit(1).count():
-            state = join_counted(own, sizes, "group", "n", own.count())
-            state = state.withColumns({"rest": F.col("label") != F.col("main"), "share": F.col("m") / ((F.col("n") - F.col("k")) * F.col("blocks"))})
+            state = join_counted(own, sizes, "group", "in_group", own.count())
+            state = state.withColumns({"rest": F.col("label") != F.col("main"), "share": F.col("m") / ((F.col("in_group") - F.col("in_main")) * F.col("blocks"))})
             more = meet(state, salt, salt == max_rounds)
             labels = _merged(labels, more)
             release(more)
